@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.bpe import op2_bpe
 from parley.llm.quality import op3_quality
+from parley.llm.simhash import op5_simhash
 from parley.llm.token_output import op1_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
