@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.bpe import op2_bpe
+from parley.llm.mixing import OP7_SQL, op7_mixing
 from parley.llm.quality import op3_quality
 from parley.llm.simhash import op5_simhash
 from parley.llm.token_output import op1_token_output
+from parley.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op5_simhash": op5_simhash,
+    "op7_mixing": op7_mixing,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+    "op9_url_filter": OP9_SQL,
+}
