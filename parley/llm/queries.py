@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.bpe import op2_bpe
+from parley.llm.cover_tree import OP8_SQL, op8_topk
 from parley.llm.mixing import OP7_SQL, op7_mixing
 from parley.llm.quality import op3_quality
 from parley.llm.simhash import op5_simhash
@@ -19,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
+    "op8_topk": op8_topk,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
+    "op8_topk": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
