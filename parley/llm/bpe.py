@@ -10,21 +10,22 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import Memo
 from parley.llm.mph import MinimalPerfectHash
 
 #: Two white-space characters side by side: only then can a pre-token reach over a space from the left.
 _RUN = re.compile(r"\s\s")
-_MEMO_ENTRIES, _MEMO_CHARS, _OUT_IDS = 1 << 17, 64, 1 << 22
+_OUT_IDS = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -39,72 +40,65 @@ class Vocabulary:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, regex.compile(pattern)
-        keys = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
-        self.mph = MinimalPerfectHash.build(keys)
-        self.at = np.empty(len(tokens), np.int64)
-        self.at[self.mph.lookup(keys)] = np.arange(len(tokens))
-        self.at = self.at.tolist()
+        self.mph = MinimalPerfectHash.of_bytes(tokens)
+        self.at = [0] * len(tokens)
         self.ranks = {t: i for i, t in enumerate(tokens)}
+        for i, t in enumerate(tokens):
+            self.at[self.mph.find(t)] = i
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.known = Memo(self.resolve, 1 << 16)
 
     def whole(self, data: bytes) -> int:
-        slot = self.mph.find(xxhash.xxh64_intdigest(data))
+        slot = self.mph.find(data)
         if slot >= 0 and self.tokens[i := self.at[slot]] == data:
             return i
         return -1
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of a pre-token that is no vocabulary entry. Parts are [start, after[start]); the lowest rank merges
-        first, the leftmost of equal ones, as long as two neighbours form an entry."""
-        n = len(data)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_of, heap = self.ranks.get, []
-
-        def offer(start: int) -> None:
-            if start >= 0 and (mid := after[start]) < n:
-                end = after[mid]
-                if (rank := rank_of(data[start:end])) is not None:
-                    heapq.heappush(heap, (rank, start, mid, end))
-
-        for i in range(n - 1):
-            offer(i)
+        """Ids of a pre-token that is no vocabulary entry: of the neighbouring parts that form an entry together, those
+        of the lowest rank merge first, the leftmost of equal ones. pair holds the rank of each part and its right
+        neighbour, so a heap entry that no longer agrees with it is out of date."""
+        n, rank_of = len(data), self.ranks.get
+        shift = n.bit_length()
+        low = (1 << shift) - 1
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        ids = [self.single[b] for b in data]
+        pair = [rank_of(data[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [rank << shift | i for i, rank in enumerate(pair) if rank >= 0]
+        heapq.heapify(heap)
         while heap:
-            _, start, mid, end = heapq.heappop(heap)
-            if after[start] != mid or after[mid] != end:
+            best = heapq.heappop(heap)
+            i = best & low
+            if pair[i] != best >> shift:
                 continue
-            after[start], after[mid] = end, -1
-            if end < n:
-                before[end] = start
-            offer(before[start])
-            offer(start)
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[data[i : after[i]]])
-            i = after[i]
-        return out
+            gone = after[i]
+            end = after[i] = after[gone]
+            before[end] = i
+            ids[i], ids[gone], pair[gone] = best >> shift, -1, -1
+            pair[i] = rank = rank_of(data[i : after[end]], -1) if end < n else -1
+            if rank >= 0:
+                heapq.heappush(heap, rank << shift | i)
+            if i:
+                left = before[i]
+                pair[left] = rank = rank_of(data[left:end], -1)
+                if rank >= 0:
+                    heapq.heappush(heap, rank << shift | left)
+        return [i for i in ids if i >= 0]
+
+    def resolve(self, piece: str) -> list[int]:
+        """Ids of one pre-token."""
+        data = piece.encode()
+        return [i] if (i := self.whole(data)) >= 0 else self.merge(data)
 
     def encode(self, text: str) -> list[int]:
         out = []
         for piece in self.pattern.findall(text):
-            data = piece.encode()
-            i = self.whole(data)
-            out.extend([i] if i >= 0 else self.merge(data))
+            out += self.known[piece]
         return out
 
-
-class _Memo(dict):
-    """Id bytes of text pieces seen before, bounded in entries and in piece length."""
-
-    def __init__(self, vocabulary: Vocabulary, prefix: str):
-        super().__init__()
-        self.vocabulary, self.prefix = vocabulary, prefix
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.vocabulary.encode(self.prefix + piece), "<u4").tobytes()
-        if len(piece) <= _MEMO_CHARS:
-            if len(self) >= _MEMO_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def packed(self, text: str) -> bytes:
+        return struct.pack(f"<{len(ids := self.encode(text))}I", *ids)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -115,14 +109,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(tokens.value, pattern)
-        first, later = _Memo(vocabulary, ""), _Memo(vocabulary, " ")
+        first, later = Memo(vocabulary.packed, 1 << 14), Memo(lambda word: vocabulary.packed(" " + word))
         for batch in batches:
             done, ids, size, start = [0], [], 0, 0
-            for row, text in enumerate(batch.column("text").to_pylist(), 1):
+            for row, text in enumerate(batch.column("text"), 1):
+                text = text.as_py()
                 if not text:
                     pass
                 elif _RUN.search(text):
-                    ids.append(np.array(vocabulary.encode(text), "<u4").tobytes())
+                    ids.append(vocabulary.packed(text))
                     size += len(ids[-1]) // 4
                 else:
                     head, *rest = text.split(" ")
@@ -146,16 +141,23 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.value
         size = np.array([len(t) for t in table], np.int64)
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(flat) and not (0 <= flat.min() and flat.max() < len(table)):
-                raise ValueError("id outside the vocabulary")
-            data = b"".join(map(table.__getitem__, flat.tolist()))
-            counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
-            ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
+        for whole in batches:
+            # a few hundred thousand ids at a time, one long row at least
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(whole.column("ids")), 0)))
+            start = 0
+            while start < len(ends):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _OUT_IDS, "right")))
+                batch = whole.slice(start, stop - start)
+                start = stop
+                ids = batch.column("ids")
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                if len(flat) and not (0 <= flat.min() and flat.max() < len(table)):
+                    raise ValueError("id outside the vocabulary")
+                counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
+                at = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+                data = b"".join(map(table.__getitem__, flat.tolist()))
+                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

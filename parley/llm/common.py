@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,26 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Memo(dict):
+    """Results of `make(key)` for keys of up to CHARS characters, in two generations: a full one becomes the old one, and
+    keys still in use come back from there, so frequent keys stay and memory is bounded by twice `entries`."""
+
+    CHARS = 48
+
+    def __init__(self, make: Callable, entries: int = 1 << 17):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.CHARS:
+                return found
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found

@@ -1,4 +1,4 @@
-"""Minimal perfect hashing of 64-bit keys by cascaded collision-free bitmaps.
+"""Minimal perfect hashing of 64-bit keys, or of byte strings, by cascaded collision-free bitmaps.
 
 Level by level every remaining key hashes to one cell of a bitmap of GAMMA cells a key; cells hit
 exactly once are kept and their keys are placed, the others go on to the next level. A key's slot is the
@@ -7,9 +7,13 @@ number of set cells before its own, so n keys fill the slots 0..n-1 and a lookup
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 import numpy as np
+import xxhash
 
-GAMMA = 2
+GAMMA = 3
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -32,12 +36,23 @@ class MinimalPerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> MinimalPerfectHash:
-        left, sizes, cells = np.asarray(keys, np.uint64), [], []
+        """Over distinct unsigned 64-bit keys, for `lookup`."""
+        keys = np.asarray(keys, np.uint64)
+        return cls._levels(len(keys), lambda level, left: mix(keys[left], level))
+
+    @classmethod
+    def of_bytes(cls, keys: list[bytes]) -> MinimalPerfectHash:
+        """Over distinct byte strings, for `find`; the levels hash with their number as seed."""
+        return cls._levels(len(keys), lambda level, left: np.array([xxhash.xxh64_intdigest(keys[i], level) for i in left.tolist()], np.uint64))
+
+    @classmethod
+    def _levels(cls, n: int, hashed: Callable[[int, np.ndarray], np.ndarray]) -> MinimalPerfectHash:
+        left, sizes, cells = np.arange(n), [], []
         while len(left):
             if len(sizes) > 200:
                 raise ValueError("keys of a minimal perfect hash must be distinct")
             size = (max(64, GAMMA * len(left)) + 63) // 64 * 64
-            at = (mix(left, len(sizes)) % np.uint64(size)).astype(np.int64)
+            at = (hashed(len(sizes), left) % np.uint64(size)).astype(np.int64)
             once = np.bincount(at, minlength=size) == 1
             sizes.append(size)
             cells.append(once)
@@ -61,23 +76,26 @@ class MinimalPerfectHash:
             open_ = open_[~hit]
         return slot
 
-    def find(self, key: int) -> int:
-        """`lookup` of one key, without arrays."""
-        for level, size in enumerate(self._sizes):
-            x = (key + (level + 1) * _STEP) & _MASK
-            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
-            x = (x ^ (x >> 27)) * 0xBF58476D1CE4E5B9 & _MASK
-            at = (x ^ (x >> 31)) % size + self._starts[level]
+    def find(self, key: bytes) -> int:
+        """Slot of one byte string."""
+        for level, (size, start) in enumerate(self._spans):
+            at = start + xxhash.xxh64_intdigest(key, level) % size
             word = self._words[at >> 6]
             if word >> (at & 63) & 1:
                 return self._ranks[at >> 6] + (word & ((1 << (at & 63)) - 1)).bit_count()
         return -1
 
-    def __getattr__(self, name: str):
-        if name in ("_sizes", "_starts", "_words", "_ranks"):
-            self.__dict__[name] = self.__dict__[name[1:]].tolist()
-            return self.__dict__[name]
-        raise AttributeError(name)
+    @cached_property
+    def _spans(self) -> list[tuple[int, int]]:
+        return list(zip(self.sizes.tolist(), self.starts.tolist(), strict=False))
+
+    @cached_property
+    def _words(self) -> list[int]:
+        return self.words.tolist()
+
+    @cached_property
+    def _ranks(self) -> list[int]:
+        return self.ranks.tolist()
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"sizes": self.sizes, "words": self.words, "ranks": self.ranks}

@@ -83,8 +83,8 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                data = (text or "").encode()
+            for text in batch.column("text"):
+                data = (text.as_py() or "").encode()
                 words = data.split()
                 n, repeats = len(words), repeated_words(words)
                 chars = sum(map(len, words)) if data.isascii() else len(b"".join(words).decode())
@@ -109,8 +109,8 @@ def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             good = []
-            for text in batch.column("text").to_pylist():
-                data = (text or "").encode()
+            for text in batch.column("text"):
+                data = (text.as_py() or "").encode()
                 words = data.split()
                 good.append(len(words) >= bands.min_words and in_bands(data, packer, bands)[2] and 100 * repeated_words(words) <= bands.max_repeat_percent * len(words))
             yield batch.filter(pa.array(good, pa.bool_()))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import io
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,54 +31,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import new_folder, partitions
+from parley.llm.common import Memo, new_folder, partitions
 from parley.llm.mph import MinimalPerfectHash, mix
 
 _PLAIN = re.compile(r"[!-&(-~]+")  # printable ASCII without the apostrophe
 _PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-_MEMO_WORDS, _MEMO_CHARS = 1 << 18, 48
 _KEY_SEED, _PRINT_SEED = 0, 1
 
 
-class WordIds(dict):
-    """Id bytes of a word (a run without blanks and line feeds), by the tokenizers library.
+class WordIds:
+    """Id bytes of texts, by the tokenizers library, word by word (a word: a run without blanks and line feeds).
 
     The tokenizer here drops white space and never joins over it, so a text's ids are its words' ids. Words of
     printable ASCII skip the normaliser, which would only lower-case them, and go to the BPE model in the pieces
-    its pre-tokenizer makes. All others take the whole way. Bounded in entries and in word length.
+    its pre-tokenizer makes. All others take the whole way.
     """
 
     def __init__(self, tokenizer_json: str, dtype: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.pieces = Tokenizer.from_str(tokenizer_json), dtype, {}
+        self.tokenizer, self.code = Tokenizer.from_str(tokenizer_json), "H" if dtype == "<u2" else "I"
         self.model = self.tokenizer.model
+        self.words, self.pieces = Memo(self.word), Memo(self.piece)
 
-    def __missing__(self, word: str) -> bytes:
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def word(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            ids = b"".join(map(self.piece, _PIECES.findall(word.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(word) <= _MEMO_CHARS:
-            if len(self) >= _MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+        return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
-            if len(piece) <= _MEMO_CHARS:
-                if len(self.pieces) >= _MEMO_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+        return self.pack([t.id for t in self.model.tokenize(piece)])
 
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        return b"".join(map(self.words.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -163,8 +153,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shards
                 files, path = _open(folder)
                 own = f"{path}/ids-{shard:06d}.bin.{uuid.uuid4().hex}"
                 out = files.open_output_stream(own)
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = words.text(text or "") + end
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = words.text(text.as_py() or "") + end
                 out.write(ids)
                 total += len(ids) // width
                 ends.append(total)
