@@ -12,6 +12,7 @@ from parley.llm.mixing import OP7_SQL, op7_mixing
 from parley.llm.quality import op3_quality
 from parley.llm.simhash import op5_simhash
 from parley.llm.token_output import op1_token_output
+from parley.llm.toxicity import op10_toxicity
 from parley.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
     "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
