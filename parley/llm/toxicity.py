@@ -2,7 +2,7 @@
 
 Labels mark documents, so token labels come first: a word is marked in toxic documents if, over the labelled sample, it
 stands there in many different surroundings and far more often than in clean ones. (Surroundings, not occurrences: copies of
-one document repeat a word in the same place.) The field is fitted to those labelled tokens: a weight for each frequent word, a bias and the transitions. Forward-backward
+one document repeat a word in the same place.) The field is fitted to those labelled tokens: a weight for each frequent word and each frequent beginning of words, a bias and the transitions. Forward-backward
 marginals of every token of a whole text then give the spans, and a logistic regression on the largest marginal and on
 the expected number of toxic tokens gives the document's score. Only the sample, of a documented bound, goes to the driver.
 """
@@ -23,6 +23,7 @@ from parley.llm.common import Memo
 #: Labelled rows that the model learns from, at most.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
 SURROUNDINGS, RATIO, FREQUENT, REACH, WINDOWS, ROUNDS = 8, 20.0, 3, 10, 20000, 80
+PREFIXES = (4, 5, 6)
 _CELLS = 1 << 20
 
 
@@ -37,11 +38,10 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """words: weight of each known word; other words weigh `unknown`. Scores of label 1 against 0, then transitions as
+    """weights: of known traits; others weigh nothing. Scores of label 1 against 0, then transitions as
     exponentials trans[from][to]. prior: score of everything if there is nothing to tell classes apart."""
 
-    words: dict[str, float]
-    unknown: float
+    weights: dict[str, float]
     bias: float
     start: float
     trans: np.ndarray
@@ -49,7 +49,7 @@ class Model:
     prior: float | None = None
 
     def weight(self, token: bytes) -> float:
-        return float(np.exp(self.bias + self.words.get(core(token.decode()), self.unknown)))
+        return float(np.exp(self.bias + sum(self.weights.get(t, 0.0) for t in traits(core(token.decode())))))
 
 
 def marginals(odds: list[np.ndarray], model: Model) -> list[np.ndarray]:
@@ -102,15 +102,20 @@ def label_words(docs: list[list[str]], toxic: list[int]) -> set[str]:
     return {w for w, s in around.items() if w and len(s) >= SURROUNDINGS and len(s) / max(n[1], 1) >= RATIO * (clean[w] + 0.5) / max(n[0], 1)}
 
 
+def traits(word: str) -> list[str]:
+    """What a word is known by: itself and its beginnings."""
+    return ["=" + word, *(word[:k] for k in PREFIXES if len(word) > k)]
+
+
 def _fit_field(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """Maximum conditional likelihood, with a Gaussian prior, of sequences of word numbers x and labels y of one length."""
-    n, steps = x.shape
+    """Maximum conditional likelihood, with a Gaussian prior, of sequences of trait numbers x (0: none) and labels y of one length."""
+    n, steps, k = x.shape
     theta, rest = np.zeros(size), np.array([-3.0, 0.0, 0.0, 0.0, 0.0, 0.0])  # rest: bias, start, transitions row by row
     moment = [np.zeros(size), np.zeros(size), np.zeros(6), np.zeros(6)]
     pairs = np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), minlength=4)
-    seen = np.bincount(x.ravel(), weights=y.ravel(), minlength=size)
+    seen = np.bincount(x.ravel(), weights=np.repeat(y.ravel(), k), minlength=size)
     for step in range(1, ROUNDS + 1):
-        e = np.exp(np.clip(rest[0] + theta[x], -30, 30))
+        e = np.exp(np.clip(rest[0] + theta[x].sum(2), -30, 30))
         t = np.exp(rest[2:]).reshape(2, 2)
         emit = np.stack([np.ones_like(e), e], axis=2)
         alpha, beta = np.empty((n, steps, 2)), np.ones((n, steps, 2))
@@ -126,12 +131,13 @@ def _fit_field(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, flo
         p = p[:, :, 1] / p.sum(2)
         joint = alpha[:, :-1, :, None] * t * (emit[:, 1:] * beta[:, 1:])[:, :, None, :]
         joint /= joint.sum((2, 3), keepdims=True)
-        grad = seen - np.bincount(x.ravel(), weights=p.ravel(), minlength=size) - 0.05 * theta
+        grad = seen - np.bincount(x.ravel(), weights=np.repeat(p.ravel(), k), minlength=size) - 0.05 * theta
+        grad[0] = 0.0
         more = np.concatenate([[(y - p).sum(), (y[:, 0] - p[:, 0]).sum()], pairs - joint.sum((0, 1)).ravel()]) - 0.05 * rest
-        for k, (g, w) in enumerate(((grad, theta), (more, rest))):
-            moment[2 * k] = 0.9 * moment[2 * k] + 0.1 * g
-            moment[2 * k + 1] = 0.999 * moment[2 * k + 1] + 0.001 * g * g
-            w += 0.2 * (moment[2 * k] / (1 - 0.9**step)) / (np.sqrt(moment[2 * k + 1] / (1 - 0.999**step)) + 1e-8)
+        for m, (g, w) in enumerate(((grad, theta), (more, rest))):
+            moment[2 * m] = 0.9 * moment[2 * m] + 0.1 * g
+            moment[2 * m + 1] = 0.999 * moment[2 * m + 1] + 0.001 * g * g
+            w += 0.2 * (moment[2 * m] / (1 - 0.9**step)) / (np.sqrt(moment[2 * m + 1] / (1 - 0.999**step)) + 1e-8)
     return theta, float(rest[0]), float(rest[1]), np.exp(rest[2:]).reshape(2, 2)
 
 
@@ -147,18 +153,21 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarra
 def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
     """A model of labelled documents. share: of toxic ones among all labelled rows, which the sample need not have."""
     if len(set(toxic)) < 2:
-        return Model({}, 0.0, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
+        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
     cores = Memo(core)
     docs = [[cores[t.decode()] for t in tokens_of(x)] for x in texts]
     marked = label_words(docs, toxic)
     if not marked:
-        return Model({}, 0.0, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
-    counts = Counter(w for words in docs for w in words)
-    number = {w: i for i, w in enumerate(sorted(w for w, c in counts.items() if c >= FREQUENT), 1)}
+        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
+    counts: Counter[str] = Counter()
+    for word, c in Counter(w for words in docs for w in words).items():
+        counts.update(dict.fromkeys(traits(word), c))
+    number = {t: i for i, t in enumerate(sorted(t for t, c in counts.items() if c >= FREQUENT), 1)}
+    ids_of = Memo(lambda word: ([number.get(t, 0) for t in traits(word)] + [0] * len(PREFIXES))[: len(PREFIXES) + 1])
     width, x, y = 2 * REACH + 1, [], []
     stride = max(width, sum(map(len, docs)) // WINDOWS)
     for words, bad in zip(docs, toxic, strict=True):
-        ids = np.array([number.get(w, 0) for w in words])
+        ids = np.array([ids_of[w] for w in words]).reshape(-1, len(PREFIXES) + 1)
         labels = np.array([bool(bad) and w in marked for w in words], np.int64)
         centres = np.flatnonzero(labels).tolist() + list(range(REACH, len(words), stride))
         for c in centres:
@@ -167,9 +176,9 @@ def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
                 x.append(ids[lo : lo + width])
                 y.append(labels[lo : lo + width])
     if not x or not any(map(np.any, y)):
-        return Model({}, 0.0, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
+        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
     theta, bias, start, trans = _fit_field(np.array(x), np.array(y), len(number) + 1)
-    model = Model({w: float(theta[i]) for w, i in number.items()}, float(theta[0]), bias, start, trans, np.zeros(3))
+    model = Model({t: float(theta[i]) for t, i in number.items() if abs(theta[i]) > 1e-3}, bias, start, trans, np.zeros(3))
     weight = Memo(model.weight)
     found = np.array([features(p) for p in marginals([np.array([weight[t] for t in tokens_of(t_)]) for t_ in texts], model)])
     truth = np.array(toxic, float)
