@@ -163,13 +163,14 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 digests of the ids, as decimals joined by commas, and of the decoded bytes."""
+def digest(decoded: DataFrame, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 digests of the ids, as decimals joined by commas, and of the decoded bytes; with the ids themselves if wanted."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
     )
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.bpe import op2_bpe
 from parley.llm.cover_tree import OP8_SQL, op8_topk
+from parley.llm.katz import op6_katz
 from parley.llm.mixing import OP7_SQL, op7_mixing
 from parley.llm.quality import op3_quality
 from parley.llm.simhash import op5_simhash
+from parley.llm.suffix_dedup import op4_suffix_dedup
 from parley.llm.token_output import op1_token_output
 from parley.llm.toxicity import op10_toxicity
 from parley.llm.url_filter import OP9_SQL, op9_url_filter
@@ -19,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op6_katz": op6_katz,
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
     "op9_url_filter": op9_url_filter,
