@@ -1,3 +1,57 @@
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""From raw documents to training tokens: quality rules, near-duplicates, repeated passages, source mix, token ids."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.llm import bpe, mixing, quality, simhash, suffix_dedup
+from parley.llm.common import new_folder
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where the table has it."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the word rules and the compression bands."""
+    return quality.keep(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by near fingerprints."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that an earlier one holds."""
+    return _measured(suffix_dedup.remove_repeats(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's budget takes them, the one at the budget cut to it."""
+    return _measured(mixing.mix(docs))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests and the token ids of each row; the ids were decoded again for decoded_sha256."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path), ids=True)
+
+
+STAGES = [("quality rules", keep_good), ("near-duplicates", drop_near_copies), ("repeated passages", cut_repeats), ("source mix", mix_sources), ("token ids", tokenise)]
+
+#: No stage but the mix can be put in SQL; the tests compare with brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage in turn over `documents`, each written as Parquet to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = new_folder(spark, "pipeline")
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return docs
