@@ -12,7 +12,7 @@ speculative tasks leave the same files.
 
 from __future__ import annotations
 
-import io
+import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,13 +50,51 @@ def get(folder: str, name: str) -> bytes:
         return f.read()
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed with the first bytes of all rows together, then the second ones, and so on: high bytes of small numbers then take no room."""
+    rows = np.ascontiguousarray(values)
+    planes = rows.view(np.uint8).reshape(len(rows), -1).T if len(rows) else rows
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: str, width: int = 1) -> np.ndarray:
+    """An array that was packed, of rows of `width` elements."""
+    size = np.dtype(kind).itemsize * width
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    rows = np.ascontiguousarray(planes.T).view(kind)
+    return rows.reshape(-1) if width == 1 else rows
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, as the steps between them."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
+
+
+def bundle(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays of one or two dimensions by name, each packed."""
+    parts = [(name, a.dtype.str, a.shape[1] if a.ndim > 1 else 1, packed(a)) for name, a in arrays.items()]
+    head = json.dumps([(name, kind, width, len(data)) for name, kind, width, data in parts]).encode()
+    return b"".join([len(head).to_bytes(4, "little"), head, *(data for *_, data in parts)])
+
+
+def unbundle(data: bytes) -> dict[str, np.ndarray]:
+    at = 4 + int.from_bytes(data[:4], "little")
+    out = {}
+    for name, kind, width, size in json.loads(data[4:at]):
+        out[name], at = unpacked(data[at : at + size], kind, width), at + size
+    return out
+
+
 def put_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
-    np.savez(out := io.BytesIO(), **arrays)
-    put(folder, name, zstandard.ZstdCompressor(level=1).compress(out.getvalue()))
+    put(folder, name, bundle(arrays))
 
 
 def get_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(get(folder, name)))))
+    return unbundle(get(folder, name))
 
 
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -98,14 +136,6 @@ def store_units(docs: DataFrame, folder: str, keep: Callable[[pa.Table], bytes],
     return materialize(docs.mapInArrow(run, "unit long"))
 
 
-def packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def unpacked(data: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
-
-
 def ask(
     units: DataFrame,
     question: Callable[[int], tuple[np.ndarray, list[bytes | np.ndarray]]],
@@ -129,7 +159,7 @@ def ask(
                 cuts = [0, *np.searchsorted(keys, bounds, "left").tolist(), len(keys)]
                 buckets = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
                 blobs = [[packed(v[cuts[b] : cuts[b + 1]]) if isinstance(v, np.ndarray) else v(cuts[b], cuts[b + 1]) for v in values] for b in buckets]
-                columns = [pa.array([unit] * len(buckets), pa.int64()), pa.array(buckets, pa.int64()), pa.array([packed(keys[cuts[b] : cuts[b + 1]]) for b in buckets], pa.binary()), pa.array(blobs, pa.list_(pa.binary()))]
+                columns = [pa.array([unit] * len(buckets), pa.int64()), pa.array(buckets, pa.int64()), pa.array([_packed_keys(keys[cuts[b] : cuts[b + 1]]) for b in buckets], pa.binary()), pa.array(blobs, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["unit", "bucket", "keys", "vals"])
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +169,7 @@ def ask(
         bucket = table.column("bucket").to_numpy()
         for b in np.unique(bucket):
             rows = table.filter(pa.array(bucket == b)).sort_by("unit")
-            keys = [unpacked(k, "<u8") for k in rows.column("keys").to_pylist()]
+            keys = [_unpacked_keys(k) for k in rows.column("keys").to_pylist()]
             sizes = np.array([len(k) for k in keys])
             out = answer(np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes), rows.column("vals").to_pylist())
             ends = np.cumsum(sizes)
@@ -155,13 +185,13 @@ def ask(
 def told(units: DataFrame, answers: DataFrame, use: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]], schema: str, kind: str = "<u4", width: int = 1) -> DataFrame:
     """use(unit, answers in the order of its keys) for every unit, those that asked nothing included. kind, width: of a row of answers."""
     none = units.select("unit", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("answers"))
-    gathered = answers.unionByName(none).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("bucket", "answers"))).alias("got"))
+    dealt = answers.unionByName(none).repartition(partitions(units.sparkSession), "unit")
+    gathered = dealt.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("bucket", "answers"))).alias("got"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for unit, got in zip(batch.column("unit").to_pylist(), batch.column("got").to_pylist(), strict=True):
-                blocks = [unpacked(x["answers"], kind) for x in got if x["answers"] is not None]
-                found = np.concatenate(blocks) if blocks else np.zeros(0, kind)
-                yield from use(unit, found if width == 1 else found.reshape(-1, width))
+                blocks = [unpacked(x["answers"], kind, width) for x in got if x["answers"] is not None]
+                yield from use(unit, np.concatenate(blocks) if blocks else np.zeros(0 if width == 1 else (0, width), kind))
 
-    return gathered.repartition(partitions(units.sparkSession), "unit").mapInArrow(run, schema)
+    return gathered.mapInArrow(run, schema)

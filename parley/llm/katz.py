@@ -15,19 +15,17 @@ stand in its own texts, so a token is evaluated, recursively from the longest co
 
 from __future__ import annotations
 
-import io
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import materialize, new_folder
-from parley.llm.exchange import ask, get_arrays, put_arrays, store_units, told, unpacked
+from parley.llm.exchange import ask, bundle, get_arrays, put_arrays, store_units, told, unpacked
 
 ORDER, TOP = 2, 5
 _END = np.uint64(1)
@@ -53,8 +51,7 @@ def tokenised(table: pa.Table) -> bytes:
     place[order] = np.arange(len(order))
     doc = table.column("doc_id")
     teaches = np.asarray(table.column("teaches").fill_null(False))
-    np.savez(out := io.BytesIO(), doc=np.asarray(doc.fill_null(0)).astype(np.int64), known=~np.asarray(doc.is_null()), teaches=teaches, sizes=np.array(sizes, np.int64), words=hashes[order], tokens=place[np.concatenate(ids)])
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    return bundle({"doc": np.asarray(doc.fill_null(0)).astype(np.int64), "known": ~np.asarray(doc.is_null()), "teaches": teaches, "sizes": np.array(sizes, np.int64), "words": hashes[order], "tokens": place[np.concatenate(ids)]})
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -186,7 +183,7 @@ def score(docs: DataFrame, teaches: Column, order: int = ORDER) -> DataFrame:
             return own["contexts"], [own["sums"]]
 
         def weighed(keys: np.ndarray, _: np.ndarray, values: list[list[bytes]], d: np.ndarray = d) -> np.ndarray:
-            sums = np.concatenate([unpacked(v[0], "<f8").reshape(-1, TOP + 2) for v in values])
+            sums = np.concatenate([unpacked(v[0], "<f8", TOP + 2) for v in values])
             by_key, first, sums = _added(keys, sums)
             count, lower, r = sums[:, 0], sums[:, 1], sums[:, 2:]
             left = (r * np.arange(1, TOP + 1) * (1 - d[1:])).sum(axis=1)
