@@ -32,7 +32,7 @@ SPAN = WIDTH - K + 1
 HALF = SPAN // 2
 #: An anchor in more units than this is sent under finer keys.
 WIDE = 16
-_CHUNK, _WINDOWS, _PAD = 1 << 18, 1 << 20, 128
+_CHUNK, _WINDOWS, _PAD, _UNIT = 1 << 18, 1 << 20, 128, 4 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _BASE = 0x5851F42D4C957F2D
@@ -62,7 +62,7 @@ class Prefixes:
     def __init__(self, data: np.ndarray):
         blocks = len(data) // _STEP + 1
         terms = np.multiply.outer(_powers(_BASE, blocks, _STEP), _LOW).ravel()[: len(data)]
-        terms *= data.astype(np.uint64) + np.uint64(1)
+        terms *= data
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])
         self.data, self.high = data, _powers(_INVERSE, blocks + 1, _STEP)
@@ -354,7 +354,7 @@ def _find(docs: DataFrame, use, schema: str) -> DataFrame:
     """use(unit, covered bytes) -> batches, for each unit of `docs`."""
     spark = docs.sparkSession
     folder = new_folder(spark, "suffixes")
-    units = store_units(docs, folder, keep_sorted)
+    units = store_units(docs, folder, keep_sorted, _UNIT)
 
     def anchors(unit: int) -> tuple[np.ndarray, list]:
         own = Unit(folder, unit)
