@@ -28,6 +28,7 @@ from parley.llm.common import materialize, new_folder
 from parley.llm.exchange import ask, bundle, get_arrays, put_arrays, store_units, told, unpacked
 
 ORDER, TOP = 2, 5
+_UNIT = 10 << 20
 _END = np.uint64(1)
 _OWN = np.uint64(1 << 63)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -111,7 +112,7 @@ def score(docs: DataFrame, teaches: Column, order: int = ORDER) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "katz")
-    units = store_units(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", teaches.alias("teaches")), folder, tokenised)
+    units = store_units(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", teaches.alias("teaches")), folder, tokenised, _UNIT)
     opened = lambda unit: get_arrays(folder, f"unit-{unit}")
 
     def counts(n: int):
@@ -135,15 +136,15 @@ def score(docs: DataFrame, teaches: Column, order: int = ORDER) -> DataFrame:
         out[taught[leader]] |= _OWN
         return out
 
-    def probabilities(own: dict[str, np.ndarray], unit: int, n: int, known: dict[int, np.ndarray], total: int, level: Level | None = None) -> np.ndarray:
+    def probabilities(own: dict[str, np.ndarray], unit: int, n: int, known: dict[int, np.ndarray], total: int, weights: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """P(token | its n - 1 predecessors) of each token, recursively."""
         count = get_arrays(folder, f"counts-{n}-{unit}")["count"]
-        level = level or Level(own, n)
+        level = Level(own, n)
         if n == 1:
             table = factor(known[1], count) * count / max(total, 1)
             left = 1.0 - known[0][1]
             return np.where(count > 0, table, left)[level.of]
-        weights = get_arrays(folder, f"weights-{n}-{unit}")
+        weights = weights or get_arrays(folder, f"weights-{n}-{unit}")
         seen = (factor(known[n], count) * count * weights["scale"][level.context_of])[level.of]
         lower = probabilities(own, unit, n - 1, known, total)
         return np.where(count[level.of] > 0, seen, weights["weight"][level.context_of][level.of] * lower)
@@ -205,9 +206,7 @@ def score(docs: DataFrame, teaches: Column, order: int = ORDER) -> DataFrame:
 
     def scored(unit: int, answers: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = opened(unit)
-        if order > 1:
-            put_arrays(folder, f"weights-{order}-{unit}", weight=answers[:, 0], scale=answers[:, 1])
-        p = probabilities(own, unit, order, known, total)
+        p = probabilities(own, unit, order, known, total, {"weight": answers[:, 0], "scale": answers[:, 1]} if order > 1 else None)
         count = get_arrays(folder, f"counts-1-{unit}")["count"][own["tokens"]]
         begin = np.cumsum(own["sizes"]) - own["sizes"]
         base = np.log10((count + 0.5) / (total + 0.5 * (vocabulary + 1)))
