@@ -32,7 +32,7 @@ SPAN = WIDTH - K + 1
 HALF = SPAN // 2
 #: An anchor in more units than this is sent under finer keys.
 WIDE = 16
-_CHUNK, _WINDOWS, _PAD, _UNIT = 1 << 18, 1 << 20, 128, 4 << 20
+_CHUNK, _WINDOWS, _PAD, _UNIT = 1 << 18, 1 << 18, 128, 4 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _BASE = 0x5851F42D4C957F2D
@@ -317,22 +317,30 @@ def repeated_windows(key: np.ndarray, doc: np.ndarray, n: np.ndarray, anchor: np
         stop = max(stop, int(group_end[np.searchsorted(group_end, at, "right")]))
         own = many[at:stop]
         at = stop
-        count = n[lead[own]]
-        run = np.repeat(own, count)
-        j = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        group = key_of[run] * 64 + anchor[lead[run]] - j
-        order = np.argsort(group, kind="stable")
-        heads = _distinct(group[order])
-        sizes = np.diff(np.append(heads, len(order)))
-        order = order[np.repeat(sizes > 1, sizes)]
-        sizes = sizes[sizes > 1]
-        if not len(order):
-            continue
-        run, j = run[order], j[order]
-        ranked, new = window_classes(text, begin[lead[run]] + j, sizes)
-        window_least = np.minimum.reduceat(least[run[ranked]], np.flatnonzero(new))[np.cumsum(new) - 1]
-        hit = ranked[least[run[ranked]] > window_least]
-        np.bitwise_or.at(mask, run[hit], np.uint32(1) << j[hit].astype(np.uint32))
+        total = int(n[lead[own]].sum())
+        # a key of very many runs is taken by the place of the anchor in the window
+        for place in range(SPAN) if total > 2 * _WINDOWS else (None,):
+            if place is None:
+                count = n[lead[own]]
+                run = np.repeat(own, count)
+                j = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+            else:
+                j = anchor[lead[own]] - place
+                fits = (j >= 0) & (j < n[lead[own]])
+                run, j = own[fits], j[fits]
+            group = key_of[run] * 64 + anchor[lead[run]] - j
+            order = np.argsort(group, kind="stable")
+            heads = _distinct(group[order])
+            sizes = np.diff(np.append(heads, len(order)))
+            order = order[np.repeat(sizes > 1, sizes)]
+            sizes = sizes[sizes > 1]
+            if not len(order):
+                continue
+            run, j = run[order], j[order]
+            ranked, new = window_classes(text, begin[lead[run]] + j, sizes)
+            window_least = np.minimum.reduceat(least[run[ranked]], np.flatnonzero(new))[np.cumsum(new) - 1]
+            hit = ranked[least[run[ranked]] > window_least]
+            np.bitwise_or.at(mask, run[hit], np.uint32(1) << j[hit].astype(np.uint32))
     full = ((np.uint64(1) << n[member].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     out[member] = np.where(doc[member] > least[cls], full, mask[cls])
     return out
