@@ -186,7 +186,7 @@ def anchors_of(data: np.ndarray, allowed: np.ndarray) -> Anchors:
         begin = np.flatnonzero(change & ok)
         stop = np.flatnonzero(np.append(change[1:] | ~ok[1:], True) & ok)
         place = least[begin].astype(np.int64)
-        found.append((begin + c, stop - begin + 1, place + c, h[place]))
+        found.append((begin + c, stop - begin + 1, place + c, _stir(h[place] + _M[2])))  # least hashes are small: spread them over all buckets
     if not found:
         empty = np.zeros(0, np.int64)
         return Anchors(empty, empty, empty, np.zeros(0, np.uint64))
