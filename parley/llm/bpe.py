@@ -25,7 +25,7 @@ from parley.llm.mph import MinimalPerfectHash
 
 #: Two white-space characters side by side: only then can a pre-token reach over a space from the left.
 _RUN = re.compile(r"\s\s")
-_OUT_IDS = 1 << 19
+_OUT_IDS = 1 << 18
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -109,7 +109,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(tokens.value, pattern)
-        first, later = Memo(vocabulary.packed, 1 << 14), Memo(lambda word: vocabulary.packed(" " + word))
+        first, later = Memo(vocabulary.packed, 1 << 14), Memo(lambda word: vocabulary.packed(" " + word), 1 << 15)
         for batch in batches:
             done, ids, size, start = [0], [], 0, 0
             for row, text in enumerate(batch.column("text"), 1):
