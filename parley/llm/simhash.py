@@ -178,9 +178,10 @@ def near_links(codes: DataFrame, large: int = LARGE) -> DataFrame:
     """a, b: links that connect exactly the distinct fingerprints `fp` joined by chains of at most LIMIT differing bits a step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
+        table = pa.Table.from_batches(found)
         fps = table.column("fp").to_numpy().view(np.uint64)
         groups = table.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
         a, b = GrayIndex(fps, groups).links()
