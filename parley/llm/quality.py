@@ -1,14 +1,19 @@
 """Quality rules: word statistics and compression bands.
 
-Every whole text is compressed with zstandard, once as a whole and once in fixed chunks. A ratio of
-compressed to plain bytes under the floor for its length marks repetitive text, one over the ceiling
-marks text that doesn't compress (keys, encoded data, noise). Short texts carry the frame's own bytes and
-little context, so the limits depend on the length.
+Every whole text is compressed with zstandard, once as a whole and once in fixed chunks: of 4,096 bytes from 8,192
+bytes on, of 1,024 under that. The last chunk is the text's last full chunk, so no end goes unjudged. A ratio of
+compressed to plain bytes under the floor marks repetitive text, one over the ceiling marks text that doesn't compress
+(keys, encoded data, noise). The limits depend on the length and come from the table itself: a first pass counts the
+ratios of all texts that pass the word rules, by quarter octave of the length and by chunk size; floor and ceiling lie
+a number of spreads (median distance from the median, scaled to a standard deviation) from the median. Where a length
+has too few texts even with its neighbours, the fixed wide limits of `Bands` hold.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,19 +21,29 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 
 
 @dataclass(frozen=True)
 class Bands:
-    """`whole` holds (bytes under which it holds, floor, ceiling) by length; `chunk` is (floor, ceiling)."""
+    """`whole` holds (bytes under which it holds, floor, ceiling) by length, `chunk` (floor, ceiling): both for lengths with too few texts."""
 
     whole: tuple[tuple[float, float, float], ...] = ((128, 0.40, 1.50), (256, 0.35, 1.05), (1024, 0.30, 0.90), (4096, 0.27, 0.80), (16384, 0.25, 0.75), (float("inf"), 0.22, 0.75))
     chunk: tuple[float, float] = (0.25, 0.75)
     chunk_bytes: int = 4096
-    #: A text goes if more than this share of its full chunks lies outside the chunk band.
+    #: Of texts under two chunks of `chunk_bytes`.
+    small_chunk_bytes: int = 1024
+    #: A text goes if more than this share of its chunks lies outside the chunk band.
     chunk_share: float = 0.3
+    #: Spreads from the median to floor (the usual cut of the modified z-score) and ceiling (further, as short clean texts lean upwards).
+    below: float = 3.5
+    above: float = 6.0
+    #: Least spread as a share of the median, for tables of copies; texts or chunks that limits need; quarter octaves to either side that may help.
+    least_spread: float = 0.01
+    min_texts: int = 50
+    reach: int = 2
     level: int = 3
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -60,16 +75,81 @@ def repeated_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def in_bands(data: bytes, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple[float, float, bool]:
-    """Whole ratio, share of full chunks out of their band, and the verdict. Empty text has ratio 0 and is out."""
+def word_rules_fail(words: list[bytes], repeats: int, bands: Bands) -> bool:
+    return len(words) < bands.min_words or 100 * repeats > bands.max_repeat_percent * len(words)
+
+
+def _step(n: int) -> int:
+    """Quarter octave of a length."""
+    return math.floor(4 * math.log2(n))
+
+
+def ratios(data: bytes, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple[float, int, list[float]]:
+    """Ratio of the whole (0 if empty), chunk size, and ratios of the chunks; texts shorter than a chunk have none."""
     n = len(data)
     if not n:
+        return 0.0, 0, []
+    size = bands.chunk_bytes if n >= 2 * bands.chunk_bytes else bands.small_chunk_bytes
+    starts = [*range(0, n - size + 1, size), *([n - size] if n > size and n % size else [])]
+    return len(packer.compress(data)) / n, size, [len(packer.compress(data[i : i + size])) / size for i in starts]
+
+
+#: (chunk size, or 0 for whole texts; quarter octave, or 0 for chunks) -> floor, ceiling
+Limits = dict[tuple[int, int], tuple[float, float]]
+_BIN = 5e-4
+
+
+def limits(docs: DataFrame, bands: Bands = Bands()) -> Limits:
+    """Limits from the ratios of all texts of `docs` that pass the word rules. What reaches the driver is counts by
+    length and ratio, whose number the ratios' width bounds and not the rows'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = zstandard.ZstdCompressor(level=bands.level), Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                data = (text.as_py() or "").encode()
+                words = data.split()
+                if len(words) < bands.min_words or word_rules_fail(words, repeated_words(words), bands):
+                    continue
+                ratio, size, parts = ratios(data, packer, bands)
+                seen[0, _step(len(data)), int(ratio / _BIN)] += 1
+                seen.update((size, 0, int(x / _BIN)) for x in parts)
+        cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["size", "step", "bin", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "size long, step long, bin long, n long").groupBy("size", "step", "bin").agg(F.sum("n").alias("n")).collect()
+    held: dict[tuple[int, int], Counter] = {}
+    for r in counted:
+        held.setdefault((r["size"], r["step"]), Counter())[r["bin"]] += r["n"]
+    out: Limits = {}
+    for size, step in held:
+        for reach in range(bands.reach + 1 if size == 0 else 1):
+            near = sum((held.get((size, s), Counter()) for s in range(step - reach, step + reach + 1)), Counter())
+            if near.total() >= bands.min_texts:
+                at, n = np.array(sorted(near.items())).T
+                middle = _median((at + 0.5) * _BIN, n)
+                away = np.abs((at + 0.5) * _BIN - middle)
+                order = np.argsort(away)
+                spread = max(1.4826 * _median(away[order], n[order]), bands.least_spread * middle)
+                out[size, step] = middle - bands.below * spread, middle + bands.above * spread
+                break
+    return out
+
+
+def _median(values: np.ndarray, counts: np.ndarray) -> float:
+    """Lower median of ascending values."""
+    total = np.cumsum(counts)
+    return float(values[np.searchsorted(total, (total[-1] + 1) // 2)])
+
+
+def in_bands(data: bytes, packer: zstandard.ZstdCompressor, bands: Bands, known: Limits) -> tuple[float, float, bool]:
+    """Whole ratio, share of chunks out of their band, and the verdict. Empty text has ratio 0 and is out."""
+    ratio, size, parts = ratios(data, packer, bands)
+    if not data:
         return 0.0, 0.0, False
-    ratio = len(packer.compress(data)) / n
-    floor, ceiling = next((lo, hi) for under, lo, hi in bands.whole if n < under)
-    size = bands.chunk_bytes
-    chunks = [len(packer.compress(data[i : i + size])) / size for i in range(0, n - size + 1, size)] if n >= 2 * size else []
-    out = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in chunks) / len(chunks) if chunks else 0.0
+    floor, ceiling = known.get((0, _step(len(data)))) or next((lo, hi) for under, lo, hi in bands.whole if len(data) < under)
+    low, high = known.get((size, 0), bands.chunk)
+    out = sum(not low <= x <= high for x in parts) / len(parts) if parts else 0.0
     return ratio, out, floor <= ratio <= ceiling and out <= bands.chunk_share
 
 
@@ -77,7 +157,9 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row per row of `docs` (doc_id, text), null text counting as empty: n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, ratio, chunks_out. Other columns are ignored, so clashing names
     can't matter; repeated rows give repeated rows; an empty table gives none; texts of any length are read whole.
+    A job for the limits runs at once.
     """
+    known = limits(docs, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=bands.level)
@@ -88,8 +170,8 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                 words = data.split()
                 n, repeats = len(words), repeated_words(words)
                 chars = sum(map(len, words)) if data.isascii() else len(b"".join(words).decode())
-                failed = n < bands.min_words or 100 * repeats > bands.max_repeat_percent * n
-                ratio, out, good = in_bands(data, packer, bands)
+                failed = word_rules_fail(words, repeats, bands)
+                ratio, out, good = in_bands(data, packer, bands, known)
                 rows.append((n, chars, len(_SYMBOL.findall(data)), repeated_lines(data), repeats, failed, not failed and good, ratio, out))
             cols = list(zip(*rows, strict=True)) or [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
@@ -103,7 +185,8 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows of `docs` whose text passes, with their columns. The verdict travels beside the rows through one
-    pass of Arrow batches, so nothing is shuffled or joined and repeated or null ids need no care."""
+    pass of Arrow batches, so no row is shuffled or joined and repeated or null ids need no care."""
+    known = limits(docs, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=bands.level)
@@ -112,7 +195,7 @@ def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
                 words = data.split()
-                good.append(len(words) >= bands.min_words and in_bands(data, packer, bands)[2] and 100 * repeated_words(words) <= bands.max_repeat_percent * len(words))
+                good.append(len(words) >= bands.min_words and in_bands(data, packer, bands, known)[2] and not word_rules_fail(words, repeated_words(words), bands))
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

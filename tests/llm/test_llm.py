@@ -125,6 +125,23 @@ def test_quality_counts(spark):
     assert found[2]["n_words"] == found[3]["n_words"] == 0 and found[2]["base_failed"]
 
 
+def test_quality_bands_drop_junk(spark):
+    rnd = random.Random(7)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    vocabulary = ["".join(rnd.choices(letters, range(26, 0, -1), k=rnd.randrange(2, 11))) for _ in range(4000)]
+    prose = lambda n: rnd.choices(vocabulary, [1 / (k + 5) for k in range(4000)], k=n)
+    clean = [" ".join(prose(rnd.randrange(250, 3000))) for _ in range(400)]
+    symbols = [" ".join(w + rnd.choice("#$%&*") * 3 for w in prose(n)) for n in (1000, 1300, 1600)]
+    menus = [" | ".join(prose(n)) for n in (400, 800, 1600)]
+    noise = [" ".join("".join(rnd.choices(letters + letters.upper() + "0123456789", k=12)) for _ in range(n)) for n in (150, 400, 800)]
+    half = [" ".join(prose(300)) + "\n" + " | ".join(prose(700))]  # under 8 KB: the chunks tell
+    rows = [*enumerate(clean), *enumerate([*symbols, *menus, *noise, *half], 1000), (2000, None), (2001, "")]
+    docs = table(spark, rows)
+    kept = [r["doc_id"] for r in quality.keep(docs).select("doc_id").collect()]
+    assert [i for i in kept if i >= 1000] == [] and len(kept) >= 395
+    assert sorted(kept) == sorted(r["doc_id"] for r in quality.measure(docs).where("kept").collect())
+
+
 def test_bpe_agrees_with_tiktoken(spark):
     tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_multi_50k.tiktoken")
