@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import minhash
 from parley.llm.common import materialize, partitions
 from parley.llm.components import connected_components
 
@@ -204,9 +205,12 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that lead their group: those whose doc_id is the least of it. doc_id must be unique; rows without one stay."""
-    groups = components(docs.where("doc_id is not null")).where("component_id < doc_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """The rows of `docs` that lead their group: those whose doc_id is the least of it. Groups join rows of near
+    fingerprints and rows of alike shingle sets, as near copies often differ in more than LIMIT bits. doc_id must be unique; rows without one stay."""
+    known = docs.where("doc_id is not null")
+    near = components(known).where("component_id < doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    later = connected_components(near.unionByName(minhash.links(known))).where("component < node").select(F.col("node").alias("doc_id"))
+    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

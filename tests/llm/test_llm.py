@@ -107,6 +107,32 @@ def test_simhash_components(spark):
     assert found == {i: (prints[i], component[i]) for i in prints}
 
 
+def test_near_copies_beyond_three_bits_go(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(30):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 4):
+            changed = list(words)
+            for at in rnd.sample(range(200), j * j):  # 5 shingles a word: similarities of about 0.95, 0.82 and 0.64
+                changed[at] = "x"
+            rows.append((10 * i + j, " ".join(changed)))
+    rows += [(900, "one"), (901, "ONE "), (902, None), (903, ""), (None, "one")]
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if i is not None for w in [(t or "").lower().split()]}
+    prints = {i: simhash.fingerprint_of(t) for i, t in rows if i is not None}
+    first = {i: i for i in prints}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    links = [(a, b) for a in prints for b in prints if a < b and (alike(a, b) or (prints[a] ^ prints[b]).bit_count() <= 3)]
+    assert any((prints[a] ^ prints[b]).bit_count() > 3 for a, b in links)
+    for _ in prints:
+        for a, b in links:
+            first[a] = first[b] = min(first[a], first[b])
+    found = sorted((r["doc_id"] for r in simhash.keep_first(table(spark, rows)).select("doc_id").collect()), key=str)
+    assert found == sorted([None, *(i for i in prints if first[i] == i)], key=str)
+    assert simhash.keep_first(table(spark, [])).count() == 0
+
+
 def test_mixing_meets_its_targets(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7), ["a", "b", None][i % 3], "x", 1) for i in range(300)] + [(400, None, "a", "x", 1)], SCHEMA)
     rows = mixing.plan(docs).collect()
