@@ -9,23 +9,26 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo
+from parley.llm.common import Memo, looked_up, slices
 from parley.llm.mph import MinimalPerfectHash
 
-#: Two white-space characters side by side: only then can a pre-token reach over a space from the left.
-_RUN = re.compile(r"\s\s")
-_OUT_IDS = 1 << 18
+#: Fixed value: a pattern under which a lone blank between two characters that aren't white space begins a pre-token, so
+#: that texts can be cut there. Texts under any other pattern are encoded in one piece.
+CUT_AT_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text, and ids, at a time.
+_PIECE, _OUT_IDS = 8 << 20, 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -46,7 +49,9 @@ class Vocabulary:
         for i, t in enumerate(tokens):
             self.at[self.mph.find(t)] = i
         self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.known = Memo(self.resolve, 1 << 16)
+        self.double = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
+        self.known = Memo(self.resolve, 1 << 18)
+        self.whole_texts = pattern != CUT_AT_BLANKS
 
     def whole(self, data: bytes) -> int:
         slot = self.mph.find(data)
@@ -62,10 +67,10 @@ class Vocabulary:
         shift = n.bit_length()
         low = (1 << shift) - 1
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        ids = [self.single[b] for b in data]
-        pair = [rank_of(data[i : i + 2], -1) for i in range(n - 1)]
-        pair.append(-1)
+        ids = list(map(self.single.__getitem__, data))
+        pair = [row[b] for row, b in zip(map(self.double.__getitem__, data), data[1:], strict=False)]
         heap = [rank << shift | i for i, rank in enumerate(pair) if rank >= 0]
+        pair.append(-1)
         heapq.heapify(heap)
         while heap:
             best = heapq.heappop(heap)
@@ -86,49 +91,76 @@ class Vocabulary:
                     heapq.heappush(heap, rank << shift | left)
         return [i for i in ids if i >= 0]
 
-    def resolve(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
+    def resolve(self, piece: str) -> bytes:
+        """Id bytes of one pre-token."""
         data = piece.encode()
-        return [i] if (i := self.whole(data)) >= 0 else self.merge(data)
-
-    def encode(self, text: str) -> list[int]:
-        out = []
-        for piece in self.pattern.findall(text):
-            out += self.known[piece]
-        return out
+        ids = [i] if (i := self.whole(data)) >= 0 else self.merge(data)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, text: str) -> bytes:
-        return struct.pack(f"<{len(ids := self.encode(text))}I", *ids)
+        """Id bytes of a text."""
+        pieces = self.pattern.findall(text)
+        return self.known[pieces[0]] if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
+
+    def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each). Texts are cut at blanks, each distinct piece is encoded once."""
+        if self.whole_texts:
+            blobs = [self.packed(t or "") for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(blobs), "<i4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        count = np.asarray(pc.list_value_length(split)).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        n, start = len(words), np.cumsum(count) - count
+        size = lambda x: np.asarray(pc.binary_length(x))
+        own = size(words)
+        lead, trail = ((size(cut(words)) < own) | (own == 0) for cut in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace))
+        glued = np.zeros(len(code), bool)  # to the piece before: a blank beside white space is no cut
+        glued[1:] = lead[code[1:]] | trail[code[:-1]]
+        glued[start] = False
+        head = np.zeros(len(code), bool)
+        head[start] = True
+        first = np.flatnonzero(~glued)
+        length = np.diff(np.append(first, len(code)))
+        unit = code[first] + n * head[first]  # pieces after a blank, then pieces at the beginning of a text, then glued ones
+        texts_of = words.to_pylist()
+        glued_texts = []
+        for j, i in enumerate(np.flatnonzero(length > 1).tolist()):
+            piece = " ".join(map(texts_of.__getitem__, code[first[i] : first[i] + length[i]].tolist()))
+            glued_texts.append(piece if head[first[i]] else " " + piece)
+            unit[i] = 2 * n + j
+
+        def make(codes: list[int]) -> list[bytes]:
+            return [self.packed(" " + texts_of[c] if c < n else texts_of[c - n] if c < 2 * n else glued_texts[c - 2 * n]) for c in codes]
+
+        ids, per_unit = looked_up(unit, 2 * n + len(glued_texts), make, 4)
+        return ids, np.add.reduceat(per_unit, np.searchsorted(first, start)) if len(start) else np.zeros(0, np.int64)
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(sent: Broadcast, pattern: str) -> Vocabulary:
+    """One a Python worker, so tasks after the first find its tables, and the pre-tokens it has met, ready."""
+    return Vocabulary(sent.value, pattern)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and `ids` (array of int) of each row's whole text. Null text counts as empty and gives no ids; other
-    columns are ignored, so clashing names can't matter; repeated rows give repeated rows. Pre-tokens are the matches
+    columns are ignored, so clashing names can't matter; repeated rows give repeated rows; an empty table gives none. Pre-tokens are the matches
     of `pattern`, each encoded by itself without special tokens. The rank table is a file of fixed size, read on the driver and sent along."""
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(tokens.value, pattern)
-        first, later = Memo(vocabulary.packed, 1 << 14), Memo(lambda word: vocabulary.packed(" " + word), 1 << 15)
+        vocabulary = _vocabulary(tokens, pattern)
         for batch in batches:
-            done, ids, size, start = [0], [], 0, 0
-            for row, text in enumerate(batch.column("text"), 1):
-                text = text.as_py()
-                if not text:
-                    pass
-                elif _RUN.search(text):
-                    ids.append(vocabulary.packed(text))
-                    size += len(ids[-1]) // 4
-                else:
-                    head, *rest = text.split(" ")
-                    one = b"".join([first[head], *map(later.__getitem__, rest)])
-                    ids.append(one)
-                    size += len(one) // 4
-                done.append(size)
-                if size >= _OUT_IDS or row == batch.num_rows:
-                    flat = pa.Array.from_buffers(pa.int32(), size, [None, pa.py_buffer(b"".join(ids))])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, row - start), pa.ListArray.from_arrays(pa.array(done, pa.int32()), flat)], names=["doc_id", "ids"])
-                    done, ids, size, start = [0], [], 0, row
+            for piece in slices(batch, _PIECE):
+                ids, count = vocabulary.columns(piece.column("text"))
+                ends = np.concatenate([[0], np.cumsum(count)])
+                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids, pa.int32()))
+                start = 0
+                while start < len(count):  # about _OUT_IDS ids at a time, one row at least
+                    stop = max(start + 1, int(np.searchsorted(ends, ends[start] + _OUT_IDS, "right")) - 1)
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id").slice(start, stop - start), lists.slice(start, stop - start).cast(pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                    start = stop
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -139,25 +171,21 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     tokens = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens.value
-        size = np.array([len(t) for t in table], np.int64)
+        table = pa.array(tokens.value, pa.large_binary())
         for whole in batches:
-            # a few hundred thousand ids at a time, one long row at least
-            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(whole.column("ids")), 0)))
-            start = 0
-            while start < len(ends):
+            count = np.asarray(pc.fill_null(pc.list_value_length(whole.column("ids")), 0)).astype(np.int64)
+            ends, start = np.cumsum(count), 0
+            while start < len(ends):  # about _OUT_IDS ids at a time, one row at least
                 stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _OUT_IDS, "right")))
                 batch = whole.slice(start, stop - start)
-                start = stop
-                ids = batch.column("ids")
-                flat = ids.flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and not (0 <= flat.min() and flat.max() < len(table)):
+                flat = batch.column("ids").flatten()
+                if len(flat) and not (0 <= pc.min(flat).as_py() and pc.max(flat).as_py() < len(table)):
                     raise ValueError("id outside the vocabulary")
-                counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
-                at = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-                data = b"".join(map(table.__getitem__, flat.tolist()))
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
+                parts = table.take(flat)
+                at = np.frombuffer(parts.buffers()[1], np.int64)[np.concatenate([[0], np.cumsum(count[start:stop])])] if len(flat) else np.zeros(stop - start + 1, np.int64)
+                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - start, [None, pa.py_buffer(at.tobytes()), parts.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
+                start = stop
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

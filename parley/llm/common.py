@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Java form of the word pattern: anything but ASCII white space. `bytes.split()` cuts at the same characters.
@@ -13,7 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a fresh local one where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset, a fresh local folder under a
+    `local` master; elsewhere executors would not see each other's files, so this raises."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -21,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf)
         return conf.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="parley-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -60,3 +67,25 @@ class Memo(dict):
             self.clear()
         self[key] = found
         return found
+
+
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about `size` bytes of text, one row at least."""
+    length = np.nan_to_num(np.asarray(pc.binary_length(batch.column("text").cast(pa.large_binary())).to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
+    ends, start = np.cumsum(length), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def looked_up(codes: np.ndarray, codes_in_all: int, make: Callable[[list[int]], list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one after the other, number of ids of each code) for a column of codes: the id bytes of each code that occurs
+    are made once and then taken as often as it stands there."""
+    used = np.bincount(codes, minlength=codes_in_all) > 0
+    blobs = make(np.flatnonzero(used).tolist())
+    at = (np.cumsum(used) - 1)[codes]
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // width
+    values = pa.Array.from_buffers(pa.int32() if width == 4 else pa.int16(), int(size.sum()), [None, pa.py_buffer(b"".join(blobs))])
+    table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int64()), values)
+    return table.take(pa.array(at)).flatten().to_numpy(), size[at]

@@ -19,14 +19,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, partitions
+from parley.llm.common import materialize, partitions, slices
 
 UNIT_BYTES = 8 << 20
 
@@ -97,17 +96,6 @@ def get_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     return unbundle(get(folder, name))
 
 
-def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about `size` bytes of text, one row at least."""
-    column = batch.column("text").cast(pa.large_binary())
-    length = np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
-    ends, start = np.cumsum(length), 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def store_units(docs: DataFrame, folder: str, keep: Callable[[pa.Table], bytes], size: int = UNIT_BYTES) -> DataFrame:
     """Write `docs` (with a string column `text`) as units of `size` bytes of text; a longer text is a unit by itself. keep: the bytes to store for a slice
     of rows. Returns a materialized table of the units' numbers, `unit`. An empty table has no units."""
@@ -125,7 +113,7 @@ def store_units(docs: DataFrame, folder: str, keep: Callable[[pa.Table], bytes],
             return pa.RecordBatch.from_pydict({"unit": pa.array([unit], pa.int64())})
 
         for batch in batches:
-            for piece in _slices(batch, size):
+            for piece in slices(batch, size):
                 waiting.append(piece)
                 held += piece.column("text").nbytes
                 if held >= 0.7 * size:
