@@ -21,14 +21,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, looked_up, slices
+from parley.llm.common import Memo, list_table, regrouped, slices
 from parley.llm.mph import MinimalPerfectHash
 
 #: Fixed value: a pattern under which a lone blank between two characters that aren't white space begins a pre-token, so
 #: that texts can be cut there. Texts under any other pattern are encoded in one piece.
 CUT_AT_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text, and ids, at a time.
-_PIECE, _OUT_IDS = 8 << 20, 1 << 20
+_PIECE, _OUT_IDS = 4 << 20, 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -50,7 +50,7 @@ class Vocabulary:
             self.at[self.mph.find(t)] = i
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.double = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
-        self.known = Memo(self.resolve, 1 << 18)
+        self.known = Memo(self.resolve, 3 << 16)
         self.whole_texts = pattern != CUT_AT_BLANKS
 
     def whole(self, data: bytes) -> int:
@@ -102,15 +102,14 @@ class Vocabulary:
         pieces = self.pattern.findall(text)
         return self.known[pieces[0]] if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
 
-    def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each). Texts are cut at blanks, each distinct piece is encoded once."""
+    def columns(self, texts: pa.Array) -> pa.LargeListArray:
+        """Ids of each text. Texts are cut at blanks, and each distinct piece is encoded once."""
         if self.whole_texts:
-            blobs = [self.packed(t or "") for t in texts.to_pylist()]
-            return np.frombuffer(b"".join(blobs), "<i4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            return list_table([self.packed(t or "") for t in texts.to_pylist()], 4)
         split = pc.split_pattern(pc.fill_null(texts, ""), " ")
         count = np.asarray(pc.list_value_length(split)).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        words, code = coded.dictionary, coded.indices.to_numpy()
         n, start = len(words), np.cumsum(count) - count
         size = lambda x: np.asarray(pc.binary_length(x))
         own = size(words)
@@ -130,11 +129,9 @@ class Vocabulary:
             glued_texts.append(piece if head[first[i]] else " " + piece)
             unit[i] = 2 * n + j
 
-        def make(codes: list[int]) -> list[bytes]:
-            return [self.packed(" " + texts_of[c] if c < n else texts_of[c - n] if c < 2 * n else glued_texts[c - 2 * n]) for c in codes]
-
-        ids, per_unit = looked_up(unit, 2 * n + len(glued_texts), make, 4)
-        return ids, np.add.reduceat(per_unit, np.searchsorted(first, start)) if len(start) else np.zeros(0, np.int64)
+        used = np.bincount(unit, minlength=2 * n + len(glued_texts)) > 0
+        table = list_table([self.packed(" " + texts_of[c] if c < n else texts_of[c - n] if c < 2 * n else glued_texts[c - 2 * n]) for c in np.flatnonzero(used).tolist()], 4)
+        return regrouped(table.take(pa.array((np.cumsum(used) - 1)[unit])), np.diff(np.append(np.searchsorted(first, start), len(first))))
 
 
 @lru_cache(maxsize=1)
@@ -153,11 +150,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         vocabulary = _vocabulary(tokens, pattern)
         for batch in batches:
             for piece in slices(batch, _PIECE):
-                ids, count = vocabulary.columns(piece.column("text"))
-                ends = np.concatenate([[0], np.cumsum(count)])
-                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids, pa.int32()))
+                lists = vocabulary.columns(piece.column("text"))
+                ends = np.asarray(lists.offsets)
                 start = 0
-                while start < len(count):  # about _OUT_IDS ids at a time, one row at least
+                while start < len(lists):  # about _OUT_IDS ids at a time, one row at least
                     stop = max(start + 1, int(np.searchsorted(ends, ends[start] + _OUT_IDS, "right")) - 1)
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id").slice(start, stop - start), lists.slice(start, stop - start).cast(pa.list_(pa.int32()))], names=["doc_id", "ids"])
                     start = stop

@@ -79,13 +79,14 @@ def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def looked_up(codes: np.ndarray, codes_in_all: int, make: Callable[[list[int]], list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids one after the other, number of ids of each code) for a column of codes: the id bytes of each code that occurs
-    are made once and then taken as often as it stands there."""
-    used = np.bincount(codes, minlength=codes_in_all) > 0
-    blobs = make(np.flatnonzero(used).tolist())
-    at = (np.cumsum(used) - 1)[codes]
+def list_table(blobs: list[bytes], width: int) -> pa.LargeListArray:
+    """Lists of ids of `width` bytes, one for each row of id bytes."""
     size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // width
     values = pa.Array.from_buffers(pa.int32() if width == 4 else pa.int16(), int(size.sum()), [None, pa.py_buffer(b"".join(blobs))])
-    table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int64()), values)
-    return table.take(pa.array(at)).flatten().to_numpy(), size[at]
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int64()), values)
+
+
+def regrouped(lists: pa.LargeListArray, rows: np.ndarray) -> pa.LargeListArray:
+    """Lists joined: the first rows[0] of them, then the next rows[1], and so on."""
+    ends = np.concatenate([[0], np.cumsum(rows)])
+    return pa.LargeListArray.from_arrays(pa.array(np.asarray(lists.offsets)[ends]), lists.values)

@@ -21,53 +21,104 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import Memo, new_folder, partitions
+from parley.llm.common import Memo, list_table, new_folder, partitions, regrouped, slices
 from parley.llm.mph import MinimalPerfectHash, mix
 
-_PLAIN = re.compile(r"[!-&(-~]+")  # printable ASCII without the apostrophe
-_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _KEY_SEED, _PRINT_SEED = 0, 1
+#: Bytes of text at a time; bytes of text a shard, where the caller names no number of shards; most shards a lookup takes.
+_PIECE, SHARD_BYTES, MOST_SHARDS = 4 << 20, 512 << 20, 1 << 20
+#: What `by_words` tries: words of letters, digits, marks, signs, combining characters and other scripts, and what may part them.
+_WORDS = ("a", "Bc", "1", "23", "x9", "'", "'s", "it's", "don't", "-", "...", "a.b", "<|", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "日本", "ß", "İ", "_", "🎉", "\u200d", "ﬁ", "#x")
+_GAPS = (" ", "\n", "\t", "\r", "\x0b", "\x0c", "  ", " \n ")
 
 
-class WordIds:
-    """Id bytes of texts, by the tokenizers library, word by word (a word: a run without blanks and line feeds).
+#: Words of a-z; a run of ASCII signs but the apostrophe, between ASCII letters or digits or at a word's end.
+_LETTERS = re.compile(r"[a-z]+")
+_SIGNS = r"([A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)(?:([A-Za-z0-9])|$)"
+
+
+def by_words(encode: Callable[[str], list[int]]) -> bool:
+    """Whether a text's ids are its words' ids, words being what ASCII white space parts: tried on all pairs of probes in both orders, with every kind of white space between and around."""
+    ids = {w: encode(w) for w in _WORDS}
+    return all(encode(f"{gap}{x}{gap}{y}{gap}") == ids[x] + ids[y] for gap in _GAPS for x in _WORDS for y in _WORDS)
+
+
+def by_signs(encode: Callable[[str], list[int]]) -> bool:
+    """Whether a word's ids are the ids of what runs of ASCII signs part and of the runs, in lower case: tried on all signs, doubled too."""
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+    parted = all(encode(a + s + b) == encode(a) + encode(s) + encode(b) for s in [*signs, *(x + y for x in signs[:8] for y in signs)] for a in ("a", "Z", "7") for b in ("b", "9", ""))
+    return parted and all(encode(chr(c) + "Xy" + chr(c)) == encode((chr(c) + "Xy" + chr(c)).lower()) for c in range(33, 127))
+
+
+def straight(encode: Callable[[str], list[int]], model) -> bool:
+    """Whether words of a-z alone go to the tokenizer's model as they are: tried on all of up to three letters and some long ones."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tried = ["".join(x) for n in (1, 2, 3) for x in product(letters, repeat=n)] + [letters, letters * 3, *(a * 40 for a in letters)]
+    return all(encode(w) == [t.id for t in model.tokenize(w)] for w in tried)
 
-    The tokenizer here drops white space and never joins over it, so a text's ids are its words' ids. Words of
-    printable ASCII skip the normaliser, which would only lower-case them, and go to the BPE model in the pieces
-    its pre-tokenizer makes. All others take the whole way.
-    """
 
-    def __init__(self, tokenizer_json: str, dtype: str):
+class TextIds:
+    """Ids of texts by the tokenizers library. words: the tokenizer passed `by_words`, so each distinct word of a piece of the
+    table is encoded once, otherwise whole texts are; signs: it passed `by_signs`, so distinct words are parted further; letters: it passed
+    `straight`, so parts of a-z skip the library's normaliser and pre-tokenizer. Strings of special tokens hold signs that must stay together, so words with `<|` or `|>` are not parted."""
+
+    def __init__(self, tokenizer_json: str, width: int, words: bool, signs: bool, letters: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.code = Tokenizer.from_str(tokenizer_json), "H" if dtype == "<u2" else "I"
-        self.model = self.tokenizer.model
-        self.words, self.pieces = Memo(self.word), Memo(self.piece)
+        self.tokenizer, self.width, self.words, self.signs = Tokenizer.from_str(tokenizer_json), width, words, signs
+        self.model, self.code = self.tokenizer.model, "H" if width == 2 else "I"
+        self.known = Memo(self.part if letters else lambda word: self.packed([word])[0], 3 << 16)
+
+    def part(self, word: str) -> bytes:
+        if _LETTERS.fullmatch(word):
+            ids = [t.id for t in self.model.tokenize(word)]
+            return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return self.packed([word])[0]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(x.ids)}{self.code}", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def columns(self, texts: pa.Array) -> pa.LargeListArray:
+        """Ids of each text."""
+        texts = pc.fill_null(texts, "")
+        if not self.words:
+            return list_table(self.packed(texts.to_pylist()), self.width)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        table = self.of_words(coded.dictionary)
+        return regrouped(table.take(coded.indices), np.asarray(pc.list_value_length(split)))
 
-    def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+    def of_words(self, words: pa.Array) -> pa.LargeListArray:
+        if not self.signs:
+            return list_table(self.of_parts(words.to_pylist()), self.width)
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring_regex(words, r"<\||\|>")))
+        parts = pc.split_pattern(pc.if_else(plain, pc.replace_substring_regex(pc.ascii_lower(words), _SIGNS, r"\1 \2 \3"), words), " ")
+        coded = parts.flatten().dictionary_encode()
+        table = list_table(self.of_parts(coded.dictionary.to_pylist()), self.width)
+        return regrouped(table.take(coded.indices), np.asarray(pc.list_value_length(parts)))
 
-    def word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
-        return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        return list(map(self.known.__getitem__, parts))
 
-    def piece(self, piece: str) -> bytes:
-        return self.pack([t.id for t in self.model.tokenize(piece)])
 
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+@lru_cache(maxsize=1)
+def _text_ids(sent: Broadcast, width: int, *passed: bool) -> TextIds:
+    """One a Python worker, so tasks after the first find the words it has met."""
+    return TextIds(sent.value, width, *passed)
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -127,8 +178,8 @@ class Shard:
         return np.frombuffer(self.ids.read_at((hi - lo) * self.width, lo * self.width), f"<u{self.width}")
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shards: int) -> DataFrame:
-    """Encode each row's whole text (null: empty), add end_id, and write a dataset of `shards` shards to `folder`.
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shards: int | None = None) -> DataFrame:
+    """Encode each row's whole text (null: empty), add end_id, and write a dataset to `folder`, of so many shards or of one for each SHARD_BYTES of text.
 
     doc_id must be integral. Rows without one stand first, unindexed; rows of equal doc_id stand together, by text; an
     empty table makes no shard. Other columns are ignored. Returns the manifest, read back: shard, first_key, last_key (null if all its keys are), n_nulls, n_docs, n_ids, width.
@@ -138,38 +189,45 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shards
         source = f.read()
     from tokenizers import Tokenizer
 
-    width = 2 if max(Tokenizer.from_str(source).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    tokenizer = Tokenizer.from_str(source)
+    width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    passed = by_words(encode), by_signs(encode), straight(encode, tokenizer.model)
+    if shards is None:
+        shards = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     sent = spark.sparkContext.broadcast(source)
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, words, end = TaskContext.get().partitionId(), None, np.array([end_id], f"<u{width}").tobytes()
+        shard, texts = TaskContext.get().partitionId(), None
         keys, ends, nulls, total, out = [], [], 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if words is None:
-                words = WordIds(sent.value, f"<u{width}")
+            if texts is None:
+                texts = _text_ids(sent, width, *passed)
                 files, path = _open(folder)
                 own = f"{path}/ids-{shard:06d}.bin.{uuid.uuid4().hex}"
                 out = files.open_output_stream(own)
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.text(text.as_py() or "") + end
-                out.write(ids)
-                total += len(ids) // width
-                ends.append(total)
-                if key is None:
-                    nulls += 1
-                else:
-                    keys.append(key)
-        if words is None:
+            for piece in slices(batch, _PIECE):
+                lists = texts.columns(piece.column("text"))
+                at = np.asarray(lists.offsets)[1:]
+                out.write(np.insert(lists.values.to_numpy().view(f"<u{width}"), at, end_id).tobytes())
+                ends.append(total + at + np.arange(1, len(at) + 1))
+                total += int(at[-1]) + len(at)
+                known = piece.column("doc_id").drop_null()
+                nulls += piece.num_rows - len(known)
+                keys.append(known.to_numpy())
+        if texts is None:
             return
         out.close()
         files.move(own, f"{path}/ids-{shard:06d}.bin")
-        known = np.array(keys, "<i8")
+        known, after = np.concatenate(keys).astype("<i8"), np.concatenate(ends)
+        if len(known) >= 1 << 32:
+            raise ValueError("more documents in a shard than its index can number: ask for more shards")
         _put(files, f"{path}/key-{shard:06d}.bin", known.tobytes())
-        _put(files, f"{path}/mph-{shard:06d}.npz", build_index(known, np.array(ends)))
-        row = (shard, keys[0] if keys else None, keys[-1] if keys else None, nulls, len(ends), total, width)
+        _put(files, f"{path}/mph-{shard:06d}.npz", build_index(known, after))
+        row = (shard, int(known[0]) if len(known) else None, int(known[-1]) if len(known) else None, nulls, len(after), total, width)
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), *[pa.int64()] * 5, pa.int32()), strict=True)], names=names)
 
     names = ["shard", "first_key", "last_key", "n_nulls", "n_docs", "n_ids", "width"]
@@ -207,10 +265,24 @@ def read_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """Keyed access: doc_id and `ids` (array of int) of the documents whose doc_id is in `keys`, repeats of a key counting
-    once. Keys that aren't stored, and null ones, give no row. Shards are found by key range from the manifest, which has one row a shard."""
-    ranges = spark.read.parquet(f"{folder}/manifest").where("first_key is not null").select("shard", "width", "n_nulls", "first_key", "last_key")
+    once. Keys that aren't stored, and null ones, give no row. A key's shard is found by binary search over the shards' key ranges,
+    which don't overlap; they come from the manifest, one row a shard, of MOST_SHARDS at most."""
+    ranges = spark.read.parquet(f"{folder}/manifest").where("first_key is not null").select("shard", "width", "n_nulls", "first_key", "last_key").orderBy("first_key").limit(MOST_SHARDS + 1).collect()
+    if len(ranges) > MOST_SHARDS:
+        raise ValueError(f"{folder} has over {MOST_SHARDS} shards")
+    sent = spark.sparkContext.broadcast(np.array([tuple(r) for r in ranges], np.int64).reshape(-1, 5))
     asked = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    routed = asked.join(F.broadcast(ranges), F.col("doc_id").between(F.col("first_key"), F.col("last_key")))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, width, n_nulls, first, last = sent.value.T
+        for batch in batches:
+            key = batch.column("doc_id").to_numpy()
+            at = np.searchsorted(first, key, "right") - 1
+            inside = (at >= 0) & (key <= last[at]) if len(first) else np.zeros(len(key), bool)
+            key, at = key[inside], at[inside]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, shard[at], width[at], n_nulls[at])], names=["doc_id", "shard", "width", "n_nulls"])
+
+    routed = asked.mapInArrow(route, "doc_id long, shard long, width long, n_nulls long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, Shard] = {}
