@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from parley.llm.common import materialize, partitions, slices
 
 UNIT_BYTES = 8 << 20
+#: A bucket holds the entries of so many whole units, or fewer: what a task keeps in memory at a time.
+UNITS_A_BUCKET = 16
 
 
 def opened(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -137,7 +139,7 @@ def ask(
     unit's keys in one bucket; buckets are prefixes of keys, so answers in the order of buckets are in the order of keys.
     """
     n = partitions(units.sparkSession)
-    bits = max(2, (4 * n - 1).bit_length())
+    bits = max(2, (max(4 * n, units.count() // UNITS_A_BUCKET) - 1).bit_length())
     bounds = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,24 +152,34 @@ def ask(
                 columns = [pa.array([unit] * len(buckets), pa.int64()), pa.array(buckets, pa.int64()), pa.array([_packed_keys(keys[cuts[b] : cuts[b + 1]]) for b in buckets], pa.binary()), pa.array(blobs, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["unit", "bucket", "keys", "vals"])
 
+    def answered(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(pieces)
+        keys = [_unpacked_keys(k) for k in rows.column("keys").to_pylist()]
+        sizes = np.array([len(k) for k in keys])
+        out = answer(np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes), rows.column("vals").to_pylist())
+        ends = np.cumsum(sizes)
+        return pa.RecordBatch.from_arrays(
+            [rows.column("unit").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array([packed(out[e - s : e]) for s, e in zip(sizes, ends, strict=True)], pa.binary())],
+            names=["unit", "bucket", "answers"],
+        )
+
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(found) if (found := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        bucket = table.column("bucket").to_numpy()
-        for b in np.unique(bucket):
-            rows = table.filter(pa.array(bucket == b)).sort_by("unit")
-            keys = [_unpacked_keys(k) for k in rows.column("keys").to_pylist()]
-            sizes = np.array([len(k) for k in keys])
-            out = answer(np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes), rows.column("vals").to_pylist())
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("unit").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array([packed(out[e - s : e]) for s, e in zip(sizes, ends, strict=True)], pa.binary())],
-                names=["unit", "bucket", "answers"],
-            )
+        """One bucket in memory at a time: rows come sorted by bucket."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if held and held[-1].column("bucket")[0].as_py() != bucket[start]:
+                    yield answered(held)
+                    held = []
+                if stop > start:
+                    held.append(batch.slice(start, stop - start))
+        if held:
+            yield answered(held)
 
     sent = units.mapInArrow(send, "unit long, bucket long, keys binary, vals array<binary>")
-    return sent.repartition(n, "bucket").mapInArrow(reply, "unit long, bucket long, answers binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(reply, "unit long, bucket long, answers binary")
 
 
 def told(units: DataFrame, answers: DataFrame, use: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]], schema: str, kind: str = "<u4", width: int = 1) -> DataFrame:

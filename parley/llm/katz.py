@@ -31,6 +31,8 @@ ORDER, TOP = 2, 5
 _UNIT = 10 << 20
 _END = np.uint64(1)
 _OWN = np.uint64(1 << 63)
+#: What a context is told: the weight of its lower order, and what its counts are divided by.
+_ANSWER = np.dtype([("weight", "<f8"), ("mass", "<u8")])
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -136,33 +138,28 @@ def score(docs: DataFrame, teaches: Column, order: int = ORDER) -> DataFrame:
         out[taught[leader]] |= _OWN
         return out
 
-    def probabilities(own: dict[str, np.ndarray], unit: int, n: int, known: dict[int, np.ndarray], total: int, weights: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    def probabilities(own: dict[str, np.ndarray], unit: int, n: int, known: dict[int, np.ndarray], total: int, weights: np.ndarray | None = None) -> np.ndarray:
         """P(token | its n - 1 predecessors) of each token, recursively."""
         count = get_arrays(folder, f"counts-{n}-{unit}")["count"]
         level = Level(own, n)
         if n == 1:
-            table = factor(known[1], count) * count / max(total, 1)
-            left = 1.0 - known[0][1]
+            scale, left = known[0]
+            table = scale * factor(known[1], count) * count / max(total, 1)
             return np.where(count > 0, table, left)[level.of]
-        weights = weights or get_arrays(folder, f"weights-{n}-{unit}")
-        seen = (factor(known[n], count) * count * weights["scale"][level.context_of])[level.of]
+        own_weights = np.ascontiguousarray(get_arrays(folder, f"weights-{n}-{unit}")["answers"] if weights is None else weights).view(_ANSWER).reshape(-1)
+        seen = (factor(known[n], count) * count / own_weights["mass"][level.context_of])[level.of]
         lower = probabilities(own, unit, n - 1, known, total)
-        return np.where(count[level.of] > 0, seen, weights["weight"][level.context_of][level.of] * lower)
+        return np.where(count[level.of] > 0, seen, own_weights["weight"][level.context_of][level.of] * lower)
 
     total = vocabulary = 0
     known: dict[int, np.ndarray] = {}
     for n in range(1, order + 1):
 
-        def noted(unit: int, answers: np.ndarray, n: int = n, known: dict = dict(known), total: int = total) -> Iterator[pa.RecordBatch]:
+        def noted(unit: int, answers: np.ndarray, n: int = n) -> Iterator[pa.RecordBatch]:
             own, count = opened(unit), (answers & ~_OWN).astype(np.int64)
-            put_arrays(folder, f"counts-{n}-{unit}", count=count)
             mine = answers & _OWN > 0
+            put_arrays(folder, f"counts-{n}-{unit}", count=count, mine=np.packbits(mine))
             r = np.bincount(np.minimum(count[mine], TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist()
-            if n > 1:
-                level = Level(own, n)
-                lower = probabilities(own, unit, n - 1, known, total)[level.at]
-                sums = [np.bincount(level.context_of[mine], x[mine], len(level.contexts)) for x in (count.astype(float), lower, *((count == k).astype(float) for k in range(1, TOP + 1)))]
-                put_arrays(folder, f"stats-{n}-{unit}", contexts=level.contexts, sums=np.stack(sums, axis=1))
             taught = int(own["sizes"][own["teaches"]].sum())
             yield pa.RecordBatch.from_pydict({"unit": pa.array([unit], pa.int64()), "taught": pa.array([taught], pa.int64()), "types": pa.array([int(mine.sum())], pa.int64()), "r": pa.array([r], pa.list_(pa.int64()))})
 
@@ -173,40 +170,47 @@ def score(docs: DataFrame, teaches: Column, order: int = ORDER) -> DataFrame:
         if n == 1:
             total, vocabulary = found["taught"] or 0, found["types"] or 0
             low = sum(seen[k] * k * (1 - known[1][k]) for k in range(1, TOP + 1))
-            if low == 0:  # nothing seen up to TOP times: one more event, unknown
-                known[1] = known[1] * total / (total + 1) if total else known[1]
-            known[0] = np.array([0.0, 1.0 - low / total if low else total / (total + 1)])
+            # what unigrams are scaled by, and the unknown's share: where none was seen up to TOP times, that of one more event
+            known[0] = np.array([1.0, low / total] if low else [total / (total + 1), 1 / (total + 1)])
             continue
         d = known[n]
 
-        def partial(unit: int, n: int = n) -> tuple[np.ndarray, list]:
-            own = get_arrays(folder, f"stats-{n}-{unit}")
-            return own["contexts"], [own["sums"]]
+        def partial(unit: int, n: int = n, known: dict = dict(known), total: int = total) -> tuple[np.ndarray, list]:
+            """Of each context: its count and the numbers of its n-grams seen 1..TOP times, and what these have in the lower order; an n-gram counts in the unit that owns it."""
+            own, table = opened(unit), get_arrays(folder, f"counts-{n}-{unit}")
+            level, count = Level(own, n), table["count"]
+            mine = np.unpackbits(table["mine"], count=len(count)).astype(bool)
+            of, c, size = level.context_of[mine], count[mine], len(level.contexts)
+            lower = np.bincount(of, probabilities(own, unit, n - 1, known, total)[level.at][mine], size)
+            numbers = [np.bincount(of, c, size), *(np.bincount(of[c == k], minlength=size) for k in range(1, TOP + 1))]
+            return level.contexts, [np.stack(numbers, axis=1).astype("<u8"), lower]
 
         def weighed(keys: np.ndarray, _: np.ndarray, values: list[list[bytes]], d: np.ndarray = d) -> np.ndarray:
-            sums = np.concatenate([unpacked(v[0], "<f8", TOP + 2) for v in values])
-            by_key, first, sums = _added(keys, sums)
-            count, lower, r = sums[:, 0], sums[:, 1], sums[:, 2:]
+            """Rows of `_ANSWER`."""
+            by_key, first, sums = _added(keys, np.concatenate([unpacked(v[0], "<u8", TOP + 1) for v in values]).astype(np.int64))
+            lower = np.add.reduceat(np.concatenate([unpacked(v[1], "<f8") for v in values])[by_key], first)
+            count, r = sums[:, 0], sums[:, 1:]
             left = (r * np.arange(1, TOP + 1) * (1 - d[1:])).sum(axis=1)
             none = left == 0
-            scale = 1 / np.maximum(np.where(none, count + 1, count), 1)
-            left = np.where(count == 0, 1.0, np.where(none, scale, left * scale))
-            weight = left / np.where(count == 0, 1.0, np.maximum(1 - lower, 1e-12))
-            out = np.empty((len(keys), 2))
-            out[by_key] = np.repeat(np.stack([weight, scale], axis=1), np.diff(np.append(first, len(keys))), axis=0)
-            return out
+            left = np.where(count == 0, 1.0, np.where(none, 1.0, left) / np.maximum(count + none, 1))
+            row = np.empty(len(first), _ANSWER)
+            row["weight"] = left / np.where(count == 0, 1.0, np.maximum(1 - lower, 1e-12))
+            row["mass"] = np.maximum(count + none, 1)
+            out = np.empty(len(keys), _ANSWER)
+            out[by_key] = np.repeat(row, np.diff(np.append(first, len(keys))))
+            return out.view("<u8").reshape(len(keys), 2)
 
         if n < order:
 
             def weights_noted(unit: int, answers: np.ndarray, n: int = n) -> Iterator[pa.RecordBatch]:
-                put_arrays(folder, f"weights-{n}-{unit}", weight=answers[:, 0], scale=answers[:, 1])
+                put_arrays(folder, f"weights-{n}-{unit}", answers=answers)
                 yield pa.RecordBatch.from_pydict({"unit": pa.array([unit], pa.int64())})
 
-            units = materialize(told(units, ask(units, partial, weighed), weights_noted, "unit long", "<f8", 2))
+            units = materialize(told(units, ask(units, partial, weighed), weights_noted, "unit long", "<u8", 2))
 
     def scored(unit: int, answers: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = opened(unit)
-        p = probabilities(own, unit, order, known, total, {"weight": answers[:, 0], "scale": answers[:, 1]} if order > 1 else None)
+        p = probabilities(own, unit, order, known, total, answers if order > 1 else None)
         count = get_arrays(folder, f"counts-1-{unit}")["count"][own["tokens"]]
         begin = np.cumsum(own["sizes"]) - own["sizes"]
         base = np.log10((count + 0.5) / (total + 0.5 * (vocabulary + 1)))
@@ -222,7 +226,7 @@ def score(docs: DataFrame, teaches: Column, order: int = ORDER) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "teaches", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     answers = ask(units, partial, weighed) if order > 1 else ask(units, counts(1), summed)
-    return told(units, answers, scored, "doc_id long, teaches boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", "<f8" if order > 1 else "<u8", 2 if order > 1 else 1)
+    return told(units, answers, scored, "doc_id long, teaches boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", "<u8", 2 if order > 1 else 1)
 
 
 def op6_katz(spark, sf_dir: str) -> DataFrame:

@@ -62,36 +62,42 @@ def test_remove_repeats_keeps_columns_and_rows(spark):
     assert found.schema == docs.schema and found.count() == docs.count()
 
 
-def test_katz_is_a_bigram_model(spark):
-    rows = [(i, random.Random(i).choice(["a b c", "a b d a b", "", "c C c", "zz"])) for i in range(30)] + [(40, None), (None, "a b")]
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_agrees_with_plain_counts(spark, order):
+    rows = [(i, random.Random(i).choice(["a b c", "a b d a b", "", "c C c", "zz", "a b c a b d", "d a"])) for i in range(40)] + [(40, None), (None, "a b")]
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    found = katz.score(table(spark, rows), fold != 1).collect()
-    taught = [(t or "").lower().split() + [None] for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
-    one, two = Counter(w for ws in taught for w in ws), Counter(p for ws in taught for p in zip([None, *ws], ws, strict=False))
-    total = sum(one.values())
-    n = lambda c: [0.0, *(float(sum(v == r for v in c.values())) for r in range(1, 7))]
-    d1, d2 = katz.discounts(n(one)), katz.discounts(n(two))
-    keep = lambda d, c: d[c] if c <= 5 else 1.0
-    low = sum(c * (1 - keep(d1, c)) for c in one.values())
-    p1 = lambda w: keep(d1, one[w]) * one[w] / total * (1 if low else total / (total + 1)) if one[w] else (low / total if low else 1 / (total + 1))
-
-    def p2(h, w):
-        after = {b: c for (a, b), c in two.items() if a == h}
-        count = sum(after.values())
-        if not count:
-            return p1(w)
-        left = sum(c * (1 - keep(d2, c)) for c in after.values())
-        scale = 1 / count if left else 1 / (count + 1)
-        left = left * scale if left else scale
-        return keep(d2, after[w]) * after[w] * scale if w in after else left / (1 - sum(map(p1, after))) * p1(w)
+    found = katz.score(table(spark, rows), fold != 1, order).collect()
+    words = lambda t: (t or "").lower().split() + [None]
+    padded = lambda ws: [None] * (order - 1) + ws
+    taught = [words(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = {n: Counter(tuple(padded(ws)[k - n + order : k + order]) for ws in taught for k in range(len(ws))) for n in range(1, order + 1)}
+    total = sum(counts[1].values())
+    d = {n: katz.discounts([0.0, *(float(sum(v == r for v in c.values())) for r in range(1, 7))]) for n, c in counts.items()}
+    keep = lambda n, c: d[n][c] if c <= 5 else 1.0
+    low = sum(c * (1 - keep(1, c)) for c in counts[1].values())
+
+    def p(gram):
+        n, c = len(gram), counts[len(gram)][gram]
+        if n == 1:
+            return keep(1, c) * c / total * (1 if low else total / (total + 1)) if c else (low / total if low else 1 / (total + 1))
+        after = {g: k for g, k in counts[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        left, mass = sum(k * (1 - keep(n, k)) for k in after.values()), sum(after.values())
+        left, mass = (left, mass) if left else (1, mass + 1)
+        return keep(n, c) * c / mass if c else left / mass / (1 - sum(p(g[1:]) for g in after)) * p(gram[1:])
 
     want = Counter()
     for i, t in rows:
-        ws = (t or "").lower().split() + [None]
-        want[(i, len(ws), round(sum(math.log10(p2(h, w)) for h, w in zip([None, *ws], ws, strict=False)), 6))] += 1
-    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in found) == want
+        ws = words(t)
+        base = sum(math.log10((counts[1][(w,)] + 0.5) / (total + 0.5 * (len(counts[1]) + 1))) for w in ws)
+        score = sum(math.log10(p(tuple(padded(ws)[k : k + order]))) for k in range(len(ws)))
+        want[(i, i is not None and zlib.crc32(str(i).encode()) % 5 != 1, len(ws), sum(counts[1][(w,)] > 0 for w in ws), round(base, 6), round(score, 6))] += 1
+    assert Counter((r["doc_id"], bool(r["teaches"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in found) == want
     assert {r["train_tokens"] for r in found} == {total}
-    assert katz.score(table(spark, []), fold != 1).count() == 0
+    for context in {g[:-1] for g in counts[order]}:  # probabilities after a context add up to 1, unknown words taken as one
+        assert abs(sum(p((*context, *g)) for g in counts[1]) + p((*context, "never")) - 1) < 1e-9
+    assert katz.score(table(spark, []), fold != 1, order).count() == 0
 
 
 def test_simhash_components(spark):
