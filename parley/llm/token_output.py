@@ -81,7 +81,7 @@ class TextIds:
 
         self.tokenizer, self.width, self.words, self.signs = Tokenizer.from_str(tokenizer_json), width, words, signs
         self.model, self.code = self.tokenizer.model, "H" if width == 2 else "I"
-        self.known = Memo(self.part if letters else lambda word: self.packed([word])[0], 3 << 16)
+        self.known = Memo(self.part if letters else lambda word: self.packed([word])[0], 1 << 18)
 
     def part(self, word: str) -> bytes:
         if _LETTERS.fullmatch(word):
