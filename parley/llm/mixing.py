@@ -1,26 +1,37 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Every row gets a hash-random key. Keys are uniform, so ranges of equal width are the range partition: a range is the
-key's first three hex digits. The token counts of a source's ranges are summed before the shuffle, a running sum over the
-ranges of a source (4,096 at most) gives where each begins, and a running sum inside a range gives each row's own begin.
+key's first hex digits, three or as many as keep about RANGE_ROWS rows in one. The token counts of a source's ranges are summed before the shuffle, a running sum over the
+ranges of a source gives where each begins, and a running sum inside a range gives each row's own begin.
 No task ever holds a source: its rows are dealt over all ranges. A source is cut at its exact budget, in the middle of a
 row if need be, after as many whole epochs as fit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.llm.common import WORD, materialize
 
-WEIGHTS, SHARE, MOST_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
+WEIGHTS, SHARE, MOST_EPOCHS, SEED, RANGE_ROWS = (3, 1, 2), 1.5, 2, "mix-1", 4096
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _key() -> Column:
+    """Hash-random by doc_id; rows without one by their text."""
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))).cast("binary"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words of the whole text, null: 0) and the hash-random key of each row."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("key", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
+    return docs.select("doc_id", "source", _size().alias("size"), _key().alias("key"))
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -41,35 +52,43 @@ def targets(by_source: DataFrame) -> DataFrame:
     return filled.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def plan(docs: DataFrame) -> DataFrame:
-    """doc_id, key, source, size, source_size, target, epochs (whole passes), part (words of one more, from the text's beginning), taken.
-
-    Null text has size 0 and is never taken; null is a source of its own; rows of equal doc_id are told apart by size
-    only, so equal rows are ordered arbitrarily but take the same in sum; an empty table gives no rows; other columns are ignored.
-    """
-    rows = materialize(sizes(docs)).withColumn("range", F.substring("key", 1, 3))
-    by_range = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
+def _placed(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """Adds source_size, target, epochs and part to `rows` (doc_id, source, size, key and any others), which stand for the same table as `sized`."""
+    digits = max(3, math.ceil(math.log(max(1, sized.count() / RANGE_ROWS), 16)))
+    cut = F.substring("key", 1, digits)
+    by_range = materialize(sized.groupBy("source", cut.alias("range")).agg(F.sum("size").alias("range_size")))
     begins = by_range.withColumn("range_begin", F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     goals = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")))
-    ranges = begins.join(goals, begins.source.eqNullSafe(goals.source)).select(begins.source, "range", "range_begin", "source_size", "target").withColumnsRenamed({"source": "s", "range": "r"})
+    ranges = begins.join(goals, begins.source.eqNullSafe(goals.source)).select(begins.source.alias("s"), F.col("range").alias("r"), "range_begin", "source_size", "target")
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = rows.withColumn("range", cut).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(ranges, placed.source.eqNullSafe(F.col("s")) & (placed.range == F.col("r")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("range_begin") - F.col("inside")
-    return placed.withColumn("epochs", epochs).withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))).select("doc_id", "key", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return placed.withColumn("epochs", epochs).withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
+
+
+def plan(docs: DataFrame) -> DataFrame:
+    """doc_id, key, source, size, source_size, target, epochs (whole passes), part (words of one more, from the text's beginning), taken.
+
+    Null text has size 0 and is never taken; null is a source of its own; rows without a doc_id are ordered by a hash of their text; rows of equal
+    doc_id are told apart by size only, so equal rows are ordered arbitrarily but take the same in sum; an empty table gives no rows; other columns are ignored.
+    """
+    rows = materialize(sizes(docs))
+    return _placed(rows, rows).select("doc_id", "key", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of `docs`: each row once an epoch, and the row at its source's budget once more
-    with only its first words, cut behind the last word taken. doc_id must be unique and not null; other rows are not taken."""
-    chosen = plan(docs).where("taken > 0").select(F.col("doc_id").alias("mix_id"), (F.col("epochs") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("wholes"), "part", F.col("size").alias("mix_size"))
-    joined = docs.join(chosen, docs.doc_id == F.col("mix_id"))
-    whole = joined.where("wholes > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("wholes").cast("int"))))
-    spread = F.split(F.col("text"), rf"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each piece is white space and one word
-    cut = joined.where("part > 0 and part < mix_size").withColumn("text", F.array_join(F.slice(spread, F.lit(1), F.col("part").cast("int")), ""))
-    return whole.select(*(docs[c] for c in docs.columns)).unionByName(cut.select(*(F.col("text") if c == "text" else docs[c] for c in docs.columns)))
+    with only its first words, cut behind the last word taken. Each row carries its own share, so rows of equal or null doc_id are taken like all others."""
+    rows = docs.select("doc_id", "source", "text", _size().alias("size"), _key().alias("key"), F.struct(*docs.columns).alias("row"))
+    chosen = _placed(rows, materialize(sizes(docs))).select("row", "text", "part", "size", (F.col("epochs") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).cast("int").alias("wholes"))
+    spread = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each piece is white space and one word
+    cut = F.col("row").withField("text", F.array_join(F.slice(spread, F.lit(1), F.col("part").cast("int")), ""))
+    whole = F.when(F.col("size") > 0, F.array_repeat("row", F.col("wholes"))).otherwise(F.array_repeat("row", 0))
+    copies = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.concat(whole, F.array(cut))).otherwise(whole)
+    return chosen.select(F.explode(copies).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -78,7 +97,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH RECURSIVE rows_ AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::DOUBLE AS source_size FROM rows_ GROUP BY source

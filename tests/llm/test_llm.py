@@ -149,6 +149,19 @@ def test_mixing_meets_its_targets(spark):
     assert mixed == sum(r["taken"] for r in rows)
 
 
+@pytest.mark.parametrize("rows", [[(1, "a b c d e"), (1, "f g h i j k"), (2, None)], [(None, "a b c"), (None, "a b c"), (None, "d e"), (3, "x y z")], [(1, None), (2, "")], []])
+def test_mix_takes_what_the_plan_says(spark, rows):
+    """Repeated and null ids included: words of the mix are the plan's, and no text stands more often than its epochs allow."""
+    docs = table(spark, rows)
+    taken = mixing.plan(docs).agg(F.sum("taken")).first()[0] or 0
+    mixed = mixing.mix(docs)
+    assert mixed.schema == docs.schema
+    out = [r["text"] for r in mixed.collect()]
+    assert sum(len(t.split()) for t in out) == taken
+    assert all(sum(x == t for x in out) <= 2 * sum(r[1] == t for r in rows) for t in out if any(r[1] == t for r in rows))
+    assert sum(map(len, map(str.split, out))) >= 0.9 * min(2.0, 1.5) * sum(len((t or "").split()) for _, t in rows)
+
+
 def test_quality_counts(spark):
     rows = [(1, "a b c a b c"), (2, None), (3, ""), (4, "é#\n\né#\nx"), (5, " ".join(f"word{i} of note{i * i}" for i in range(200)))]
     found = {r["doc_id"]: r for r in quality.measure(table(spark, rows)).collect()}
