@@ -178,7 +178,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, cell_rows: int = CE
     wanted = min(CENTRES, max(1, -(-n // cell_rows)))
     picked = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * wanted).collect()
     size = len(picked[0]["v"]) if picked else 0
-    sample = np.array([r["v"] for r in picked], np.float64).reshape(len(picked), size)
+    sample = matrix(pa.array([r["v"] for r in picked], pa.list_(pa.int64())), size).astype(np.float64)
     centres = sample[spread_out(sample, wanted)] if picked else sample
     lengths = np.sqrt((centres**2).sum(axis=1))
     top = spark.sparkContext.broadcast((centres, lengths))
