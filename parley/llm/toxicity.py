@@ -1,30 +1,35 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give spans and document scores.
 
-Labels mark documents, so token labels come first: a word is marked in toxic documents if, over the labelled sample, it
-stands there in many different surroundings and far more often than in clean ones. (Surroundings, not occurrences: copies of
-one document repeat a word in the same place.) The field is fitted to those labelled tokens: a weight for each frequent word and each frequent beginning of words, a bias and the transitions. Forward-backward
-marginals of every token of a whole text then give the spans, and a logistic regression on the largest marginal and on
-the expected number of toxic tokens gives the document's score. Only the sample, of a documented bound, goes to the driver.
+Labels mark documents, so token labels come first: in toxic documents a token is marked if one of its traits (the word, or a beginning
+of it) stands in many more different surroundings there than in clean documents, by a ratio of rates and a likelihood-ratio
+statistic, which weighs evidence alike in samples of every size. (Surroundings, not occurrences: copies of one document repeat a word in the
+same place.) The field is fitted to those labelled tokens: a weight for each frequent trait, a bias and the transitions. Forward-backward
+marginals of every token of a whole text then give the spans, and a logistic regression on the largest marginal, on
+the expected number of toxic tokens and on their share gives the document's score. Only the sample, of a documented bound in rows and bytes, goes to the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo
+from parley.llm.common import Memo, slices
 
-#: Labelled rows that the model learns from, at most.
-TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
-SURROUNDINGS, RATIO, FREQUENT, REACH, WINDOWS, ROUNDS = 8, 20.0, 3, 10, 20000, 80
-PREFIXES = (4, 5, 6)
-_CELLS = 1 << 20
+#: Labelled rows that the model learns from, at most, and bytes of their texts together (one row at least).
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1200, 2400, 64 << 20
+#: Of toxic traits: least surroundings, least ratio of rates, least statistic (chance alone gives one trait in a million that much).
+LEAST, RATIO, EVIDENCE = 3, 10.0, 25.0
+#: The field's traits stand this often; its windows reach so far to both sides of their centre; those without a toxic token are WINDOWS at most, evenly spaced over the sample.
+FREQUENT, REACH, WINDOWS, ROUNDS = 3, 10, 20000, 80
+PREFIXES = (4, 5, 6, 7, 8)
+_CELLS, _PIECE = 1 << 20, 4 << 20
 
 
 def core(token: str) -> str:
@@ -82,24 +87,10 @@ def marginals(odds: list[np.ndarray], model: Model) -> list[np.ndarray]:
     return out
 
 
-def features(p: np.ndarray) -> tuple[float, float, float]:
+def features(p: np.ndarray) -> tuple[float, float, float, float]:
     top = float(np.clip(p.max(), 1e-6, 1 - 1e-6)) if len(p) else 1e-6
-    return 1.0, float(np.log(top / (1 - top))), float(np.log1p(p[p > 0.05].sum())) if len(p) else 0.0
-
-
-def label_words(docs: list[list[str]], toxic: list[int]) -> set[str]:
-    """Words whose tokens in toxic documents count as toxic."""
-    around: dict[str, set[tuple[str, str]]] = defaultdict(set)
-    clean: Counter[str] = Counter()
-    n = [0, 0]
-    for words, bad in zip(docs, toxic, strict=True):
-        n[bad] += len(words)
-        if bad:
-            for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
-                around[w].add((a, b))
-        else:
-            clean.update(words)
-    return {w for w, s in around.items() if w and len(s) >= SURROUNDINGS and len(s) / max(n[1], 1) >= RATIO * (clean[w] + 0.5) / max(n[0], 1)}
+    toxic = float(p[p > 0.05].sum()) if len(p) else 0.0
+    return 1.0, float(np.log(top / (1 - top))), float(np.log1p(toxic)), float(np.log((toxic + 0.05) / (len(p) + 20)))
 
 
 def traits(word: str) -> list[str]:
@@ -107,6 +98,36 @@ def traits(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in PREFIXES if len(word) > k)]
 
 
+def toxic_traits(docs: list[np.ndarray], toxic: list[int], words: list[str]) -> set[str]:
+    """Traits whose tokens in toxic documents count as toxic. docs: places in `words`."""
+    found: list[Counter[str]] = []
+    total = []
+    for bad in (0, 1):
+        places = []
+        for d in (d for d, t in zip(docs, toxic, strict=True) if t == bad and len(d)):
+            around = np.concatenate([[-1], d, [-1]]).astype(np.uint64)
+            places.append(np.stack([d.astype(np.uint64), around[1:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (around[:-2] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (around[2:] * np.uint64(0x165667B19E3779F9) >> np.uint64(1))]))
+        word, place = np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.uint64)
+        _, first = np.unique(place, return_index=True)
+        count: Counter[str] = Counter()
+        for w, n in zip(*np.unique(word[first], return_counts=True), strict=True):
+            if words[int(w)]:
+                for t in traits(words[int(w)]):
+                    count[t] += int(n)
+        found.append(count)
+        total.append(max(1, len(first)))
+    clean, dirty = found
+    out = set()
+    for t, k in dirty.items():
+        if k < LEAST or k / total[1] < RATIO * (clean[t] + 0.5) / total[0]:
+            continue
+        share = (k + clean[t]) / (total[0] + total[1])
+        statistic = 2 * (k * np.log(k / (share * total[1])) + (clean[t] * np.log(clean[t] / (share * total[0])) if clean[t] else 0.0))
+        if statistic >= EVIDENCE:
+            out.add(t)
+    return out
+
+
 def _fit_field(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, float, float, np.ndarray]:
     """Maximum conditional likelihood, with a Gaussian prior, of sequences of trait numbers x (0: none) and labels y of one length."""
     n, steps, k = x.shape
@@ -153,32 +174,37 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarra
 def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
     """A model of labelled documents. share: of toxic ones among all labelled rows, which the sample need not have."""
     if len(set(toxic)) < 2:
-        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
-    cores = Memo(core)
-    docs = [[cores[t.decode()] for t in tokens_of(x)] for x in texts]
-    marked = label_words(docs, toxic)
+        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(4), share)
+    cores, places = Memo(core), {}
+    docs = [np.array([places.setdefault(cores[t.decode()], len(places)) for t in tokens_of(x)], np.int64) for x in texts]
+    words = list(places)
+    marked = toxic_traits(docs, toxic, words)
     if not marked:
-        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
+        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(4), share)
+    often = np.bincount(np.concatenate(docs), minlength=len(words))
     counts: Counter[str] = Counter()
-    for word, c in Counter(w for words in docs for w in words).items():
+    for word, c in zip(words, often.tolist(), strict=True):
         counts.update(dict.fromkeys(traits(word), c))
     number = {t: i for i, t in enumerate(sorted(t for t, c in counts.items() if c >= FREQUENT), 1)}
-    ids_of = Memo(lambda word: ([number.get(t, 0) for t in traits(word)] + [0] * len(PREFIXES))[: len(PREFIXES) + 1])
-    width, x, y = 2 * REACH + 1, [], []
+    width = 2 * REACH + 1
+    ids_of = np.zeros((len(words) + 1, len(PREFIXES) + 1), np.int32)  # the last row: what fills windows up beyond a text's end
+    for i, word in enumerate(words):
+        own = [number.get(t, 0) for t in traits(word)]
+        ids_of[i, : len(own)] = own
+    is_marked = np.array([any(t in marked for t in traits(word)) for word in words])
     stride = max(width, sum(map(len, docs)) // WINDOWS)
-    for words, bad in zip(docs, toxic, strict=True):
-        ids = np.array([ids_of[w] for w in words]).reshape(-1, len(PREFIXES) + 1)
-        labels = np.array([bool(bad) and w in marked for w in words], np.int64)
-        centres = np.flatnonzero(labels).tolist() + list(range(REACH, len(words), stride))
-        for c in centres:
-            lo = max(0, min(c - REACH, len(words) - width))
-            if len(words) >= width:
-                x.append(ids[lo : lo + width])
-                y.append(labels[lo : lo + width])
-    if not x or not any(map(np.any, y)):
-        return Model({}, 0.0, 0.0, np.ones((2, 2)), np.zeros(3), share)
+    x, y = [], []
+    for d, bad in zip(docs, toxic, strict=True):
+        labels = is_marked[d] & bool(bad)
+        long = np.concatenate([d, np.full(max(0, width - len(d)), len(words))])
+        wide = np.concatenate([labels, np.zeros(len(long) - len(d), bool)]).astype(np.int64)
+        for c in np.flatnonzero(labels).tolist() + list(range(min(REACH, max(0, len(d) - 1)), len(d), stride)):
+            lo = max(0, min(c - REACH, len(long) - width))
+            x.append(ids_of[long[lo : lo + width]])
+            y.append(wide[lo : lo + width])
     theta, bias, start, trans = _fit_field(np.array(x), np.array(y), len(number) + 1)
-    model = Model({t: float(theta[i]) for t, i in number.items() if abs(theta[i]) > 1e-3}, bias, start, trans, np.zeros(3))
+    del x, y
+    model = Model({t: float(theta[i]) for t, i in number.items() if abs(theta[i]) > 1e-3}, bias, start, trans, np.zeros(4))
     weight = Memo(model.weight)
     found = np.array([features(p) for p in marginals([np.array([weight[t] for t in tokens_of(t_)]) for t_ in texts], model)])
     truth = np.array(toxic, float)
@@ -187,9 +213,10 @@ def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """Fit on at most toxic_rows and clean_rows labelled documents, the first in the order of a hash of doc_id. Rows
-    with a null doc_id or label don't count; a doc_id labelled twice takes the larger label. usable: a condition on doc_id for rows to learn from."""
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most toxic_rows and clean_rows labelled documents, the first in the order of a hash of doc_id, as far as sample_bytes of text go. Rows
+    with a null doc_id or label don't count; a doc_id labelled twice takes the larger label; of a doc_id that `docs` repeats, rows count as long as the bounds allow.
+    usable: a condition on doc_id for rows to learn from."""
     known = labels.where("doc_id is not null and toxic is not null")
     known = (known if usable is None else known.where(usable)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -197,27 +224,36 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, toxi
     if not total:
         return fit([], [], 0.0)
     picked = known.where("toxic = 1").orderBy("h", "doc_id").limit(toxic_rows).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(clean_rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic", "h")), "doc_id").select("h", "doc_id", "text", "toxic").toPandas().sort_values(["h", "doc_id", "text"])
-    return fit(sample["text"].where(sample["text"].notna(), None).tolist(), sample["toxic"].astype(int).tolist(), counts.get(1, 0) / total)
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic", "h")), "doc_id").select("h", "doc_id", "text", "toxic")
+    most = toxic_rows + clean_rows
+    lengths = joined.select("h", "doc_id", F.octet_length("text").alias("n")).orderBy("h", "doc_id", "n").limit(most).collect()
+    if not lengths:
+        return fit([], [], 0.0)
+    within = np.searchsorted(np.cumsum([r["n"] or 0 for r in lengths]), sample_bytes, "right")
+    sample = joined.where(F.col("h") <= lengths[max(0, int(within) - 1)]["h"]).orderBy("h", "doc_id", F.octet_length("text"), "text").limit(max(1, int(within))).collect()
+    return fit([r["text"] for r in sample], [int(r["toxic"]) for r in sample], counts.get(1, 0) / total)
 
 
 def score(docs: DataFrame, model: Model, span_at: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1) and spans (start and end, in code points, of runs of tokens whose marginal is span_at or
-    more) for each row. Null text counts as empty and, like every text without evidence, has the score of no toxic token. Other columns are ignored."""
+    more) for each row. Null text counts as empty and, like every text without evidence, has the score of no toxic token; repeated rows give repeated rows; an empty table gives none. Other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         weight = Memo(own.weight)
         for big in batches:
-            for start in range(0, big.num_rows, 1000):
-                batch = big.slice(start, 1000)
-                texts = [t.as_py() or "" for t in batch.column("text")]
-                odds = [np.array(list(map(weight.__getitem__, tokens_of(t)))) for t in texts]
+            for batch in slices(big, _PIECE):
+                texts = pc.fill_null(batch.column("text"), "")
+                split = pc.ascii_split_whitespace(texts)
+                coded = split.flatten().dictionary_encode()
+                distinct = np.array([weight[t.encode()] if t else np.nan for t in coded.dictionary.to_pylist()])
+                every = distinct[coded.indices.to_numpy()] if len(coded) else np.zeros(0)
+                odds = [o[~np.isnan(o)] for o in np.split(every, np.cumsum(np.asarray(pc.list_value_length(split)))[:-1])]  # white space at an end leaves an empty word
                 chances = marginals(odds, own)
                 found = np.array([features(p) for p in chances])
-                scores = np.full(len(texts), own.prior) if own.prior is not None else 1 / (1 + np.exp(-np.clip(found @ own.logistic, -30, 30)))
-                spans = [_spans(t, p >= span_at) if own.prior is None and len(p) and p.max() >= span_at else [] for t, p in zip(texts, chances, strict=True)]
+                scores = np.full(len(odds), own.prior) if own.prior is not None else 1 / (1 + np.exp(-np.clip(found @ own.logistic, -30, 30)))
+                spans = [_spans(texts[i].as_py(), p >= span_at) if own.prior is None and len(p) and p.max() >= span_at else [] for i, p in enumerate(chances)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "score", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
