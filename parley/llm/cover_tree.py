@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from parley.llm.common import materialize
 
 NONE = -(2**50)
-QUERY_LEAF, CANDIDATE_LEAF, CANDIDATE_BLOCK, QUERY_BLOCK = 16, 128, 16384, 4096
+QUERY_LEAF, CANDIDATE_LEAF, CANDIDATE_BLOCK, QUERY_BLOCK = 64, 256, 16384, 4096
 #: Rows a cell should hold; most cells; sampled rows for each cell to pick centres from.
 CELL_ROWS, CENTRES, SAMPLE = 4096, 2048, 4
 _NO_ANGLE = np.pi
@@ -93,9 +93,9 @@ def bounds(a: Node, others: list[Node]) -> np.ndarray:
     return most(dot, angles(dot, norm * a.norm) - 2e-6, a, norm, radius, spread, low, high)
 
 
-def search(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, reached: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+def search(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, reached: np.ndarray | None = None, leaves: tuple[int, int] = (QUERY_LEAF, CANDIDATE_LEAF)) -> tuple[np.ndarray, np.ndarray, int]:
     """(ids, scores) of each query's k best rows of integer `points`, best first, ties to smaller ids; NONE pads. A row whose id is in `own` at the query's place isn't its candidate. Rows that score
-    less than a query has `reached` needn't be found. Last, the number of pairs that met in arithmetic."""
+    less than a query has `reached` needn't be found. leaves: points a leaf of queries and of candidates; small ones prune more and cost more where nothing can be pruned. Last, the number of pairs that met in arithmetic."""
     q, p = queries.astype(np.float64), points.astype(np.float64)
     best = np.full((len(q), k), NONE, np.int64)
     who = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
@@ -135,7 +135,7 @@ def search(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.nda
                 visit(x, y)
 
     if len(q) and len(p):
-        visit(cover_tree(q, QUERY_LEAF), cover_tree(p, CANDIDATE_LEAF))
+        visit(cover_tree(q, leaves[0]), cover_tree(p, leaves[1]))
     return who, best, met
 
 

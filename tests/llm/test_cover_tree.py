@@ -55,12 +55,12 @@ def test_sql_is_brute_force_too():
 def test_clustered_vectors_are_pruned():
     rows = np.floor(64 * np.array([e for _, e in clustered(4, 8000, 16, 40, 0.02)])).astype(np.int64)
     ids = np.arange(len(rows))
-    who, best, met = cover_tree.search(rows[:200], rows, ids, ids[:200], 10)
+    who, best, met = cover_tree.search(rows[:200], rows, ids, ids[:200], 10, leaves=(8, 32))
     full = rows[:200] @ rows.T
     np.fill_diagonal(full, cover_tree.NONE)
     assert (best == -np.sort(-full, axis=1)[:, :10]).all()
-    assert met < 0.6 * 200 * len(rows)
-    *_, again = cover_tree.search(rows[:200], rows, ids, ids[:200], 10, best[:, -1])  # with k-th scores known in advance
+    assert met < 0.2 * 200 * len(rows)
+    *_, again = cover_tree.search(rows[:200], rows, ids, ids[:200], 10, best[:, -1], (8, 32))  # with k-th scores known in advance
     assert again < met
 
 
