@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, partitions
+from parley.llm.common import materialize, partitions, slices
 from parley.llm.components import connected_components
 
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
@@ -50,7 +50,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the shingle set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for big in batches for piece in slices(big, 4 << 20)):
             sets = [shingles(t.as_py()) for t in batch.column("text")]
             keys = np.array([band_keys(s) for s in sets], np.uint64).view(np.int64).reshape(len(sets), BANDS)
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())

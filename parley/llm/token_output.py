@@ -22,14 +22,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,12 +114,6 @@ class TextIds:
         return list(map(self.known.__getitem__, parts))
 
 
-@lru_cache(maxsize=1)
-def _text_ids(sent: Broadcast, width: int, *passed: bool) -> TextIds:
-    """One a Python worker, so tasks after the first find the words it has met."""
-    return TextIds(sent.value, width, *passed)
-
-
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder else pafs.FileSystem.from_uri("file://" + re.sub(r"^file:", "", folder))
 
@@ -205,7 +198,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shards
             if not batch.num_rows:
                 continue
             if texts is None:
-                texts = _text_ids(sent, width, *passed)
+                texts = TextIds(sent.value, width, *passed)
                 files, path = _open(folder)
                 own = f"{path}/ids-{shard:06d}.bin.{uuid.uuid4().hex}"
                 out = files.open_output_stream(own)
