@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, partitions, slices
+from parley.llm.common import materialize, slices
 from parley.llm.components import connected_components
 
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
@@ -60,16 +60,18 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are alike."""
+    """The pairs (a, b) of doc_ids whose texts are alike. One join brings each pair's two texts, which then meet by pair: pairs of a text that stands in many are dealt over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= least for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    one, two = (docs.select(F.col("doc_id").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").repartition(4 * partitions(docs.sparkSession)).mapInArrow(run, f"a {kind}, b {kind}")
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = sides.join(docs.select("doc_id", "text"), "doc_id")
+    both = texts.groupBy("a", "b").agg(*(F.max(F.when(F.col("doc_id") == F.col(k), F.col("text"))).alias(t) for k, t in (("a", "x"), ("b", "y"))))
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -89,5 +91,6 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     apart = apart.withColumnRenamed("group", "g").join(apart.withColumnRenamed("group", "h"), "key").where("g < h")
     one, two = (placed.select("key", F.col("id").alias(k), F.col("group").alias(g)) for k, g in (("x", "g"), ("y", "h")))
     rest = apart.join(one, ["key", "g"]).join(two, ["key", "h"]).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    more = _checked(rest.join(starred, ["a", "b"], "left_anti"), docs, least)
-    return equal.unionByName(found).unionByName(more)
+    rest = materialize(rest.join(starred, ["a", "b"], "left_anti"))
+    linked = equal.unionByName(found)
+    return linked if rest.isEmpty() else linked.unionByName(_checked(rest, docs, least))
