@@ -1,7 +1,7 @@
 """Interval algebra over rows (recording, idx, t0, t1[, speaker]).
 
 Every operator takes and returns DataFrames, keyed by `key` (the recording), lazily and without collecting. Times are
-seconds. `idx` is the row's place in its recording; it settles every tie, so results don't depend on the order in which rows arrive. Rows
+seconds. Operators that match points or intervals of a recording with each other join on bins of BIN seconds besides. `idx` is the row's place in its recording; it settles every tie, so results don't depend on the order in which rows arrive. Rows
 with a null time are ignored; an empty table gives none. Windows are partitioned by recording: one recording's
 rows meet in one task, recordings are spread over all.
 """
@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.functions.text import stripped
+
 EPS = 1e-6
+#: Seconds a bin of range joins: a few turns long, so that a row falls into few bins and a bin holds few rows.
+BIN = 60.0
 KEY = "recording"
 
 
@@ -105,7 +109,7 @@ def merge_touching(df: DataFrame, key: str = KEY) -> DataFrame:
 def build_turns(utterances: DataFrame, max_gap: float = 0.0, key: str = KEY) -> DataFrame:
     """recording, start, end, speaker, text: neighbouring utterances (t0, t1, speaker, text) of one speaker joined over gaps of up to
     max_gap and a microsecond; their texts, stripped and without blank ones, joined by a space; times rounded to 3 places."""
-    rows = _known(utterances).select(key, "idx", "t0", "t1", "speaker", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = _known(utterances).select(key, "idx", "t0", "t1", "speaker", stripped(F.coalesce("text", F.lit(""))).alias("text"))
     order = Window.partitionBy(key).orderBy("t0", "t1", "idx")
     runs = _islands(rows, order, F.lag("speaker").over(order).eqNullSafe(F.col("speaker")), max_gap, key)
     inner = Window.partitionBy(key, "run").orderBy("t0", "t1", "idx")
@@ -118,52 +122,43 @@ def build_turns(utterances: DataFrame, max_gap: float = 0.0, key: str = KEY) ->
     return turns.select(key, F.round("t0", 3).alias("start"), F.round("t1", 3).alias("end"), "speaker", text.alias("text"))
 
 
-def resolve_overlaps(df: DataFrame, key: str = KEY) -> DataFrame:
+def _bin(t: Column, size: float) -> Column:
+    return F.floor(t / size)
+
+
+def _bins(df: DataFrame, t0: str, t1: str, size: float) -> DataFrame:
+    """A row for each bin that [t0, t1] touches."""
+    return df.withColumn("_bin", F.explode(F.sequence(_bin(F.col(t0), size), _bin(F.col(t1), size))))
+
+
+def resolve_overlaps(df: DataFrame, key: str = KEY, size: float = BIN) -> DataFrame:
     """recording, idx, t0, t1, speaker: time cut at every turn's ends; each piece goes to the turn over it that began last, of those to
-    the first by idx; touching pieces of one speaker join. Pieces under a nanosecond are skipped. The range join is keyed by recording."""
+    the first by idx; touching pieces of one speaker join. Pieces under a nanosecond are skipped. size: seconds a bin of the range join; a turn over a
+    piece touches the bin where the piece begins."""
     turns = positive(_known(df)).select(key, "idx", "t0", "t1", "speaker")
     points = turns.select(key, F.explode(F.array("t0", "t1")).alias("a")).distinct()
     pieces = points.withColumn("b", F.lead("a").over(Window.partitionBy(key).orderBy("a"))).where(F.col("b") - F.col("a") >= 1e-9)
-    over = pieces.join(turns, key).where("t0 <= a and t1 >= b")
+    over = pieces.withColumn("_bin", _bin(F.col("a"), size)).join(_bins(turns, "t0", "t1", size), [key, "_bin"]).where("t0 <= a and t1 >= b")
     chosen = over.groupBy(key, "a", "b").agg(F.max_by("speaker", F.struct("t0", -F.col("idx"))).alias("speaker"))
     ranked = chosen.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("a")).cast("long")).select(key, "idx", F.col("a").alias("t0"), F.col("b").alias("t1"), "speaker")
     return merge_touching(ranked, key)
 
 
-def _turn_list(df: DataFrame, fields: tuple[str, ...], key: str) -> DataFrame:
-    """One row a recording with its turns as an array in the order of `fields`."""
-    return _known(df).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("turns"))
-
-
-_TURN = "struct<idx:bigint,t0:double,t1:double,speaker:string>"
-
-
-def _absorbed(turns: Column, max_dur: float) -> Column:
-    """Left to right: a turn under max_dur goes into the one kept before it; only a first one stays. Then right to left into the right neighbour."""
-    as_turn = lambda x: F.struct(x["idx"].alias("idx"), x["t0"].alias("t0"), x["t1"].alias("t1"), x["speaker"].alias("speaker"))
-    none = F.array().cast(f"array<{_TURN}>")
-
-    def forth(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(last["idx"].alias("idx"), last["t0"].alias("t0"), F.greatest(last["t1"], x["t1"]).alias("t1"), last["speaker"].alias("speaker"))
-        short = (x["t1"] - x["t0"] < max_dur) & (F.size(done) > 0)
-        return F.when(short, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(as_turn(x))))
-
-    def back(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(last["idx"].alias("idx"), F.least(last["t0"], x["t0"]).alias("t0"), last["t1"].alias("t1"), last["speaker"].alias("speaker"))
-        short = (x["t1"] - x["t0"] < max_dur) & (F.size(done) > 0)
-        return F.when(short, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(as_turn(x))))
-
-    return F.reverse(F.aggregate(F.reverse(F.aggregate(turns, none, forth)), none, back))
-
-
 def absorb_short(df: DataFrame, max_dur: float, key: str = KEY) -> DataFrame:
     """recording, idx, t0, t1, speaker: turns, in the order of (t0, t1, idx), under max_dur long go into their left neighbour, then what is
-    still short into its right one; touching turns of one speaker join. A fold: each step depends on what the one before kept."""
-    lists = _turn_list(df, ("t0", "t1", "idx", "speaker"), key)
-    folded = lists.select(key, F.posexplode(_absorbed(F.col("turns"), max_dur)).alias("place", "turn"))
-    return merge_touching(folded.select(key, F.col("place").cast("long").alias("idx"), "turn.t0", "turn.t1", "turn.speaker"), key)
+    still short into its right one; touching turns of one speaker join. A turn of max_dur or longer always stays and takes the short ones behind it, so these are groups; the short ones
+    before the first such turn join the first of them, and only that one can still be short for the way back."""
+    turns = _known(df).select(key, "idx", "t0", "t1", "speaker")
+    order = Window.partitionBy(key).orderBy("t0", "t1", "idx")
+    stays = F.when((F.row_number().over(order) == 1) | (F.col("t1") - F.col("t0") >= max_dur), 1).otherwise(0)
+    grouped = turns.withColumn("stays", stays).withColumn("place", F.sum("stays").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    forth = grouped.groupBy(key, "place").agg(F.min(F.struct("t0", "t1", "idx", "speaker")).alias("first"), F.max("t1").alias("t1"))
+    rows = forth.select(key, "place", F.col("first.t0").alias("t0"), "t1", F.col("first.speaker").alias("speaker"))
+    place = Window.partitionBy(key).orderBy("place")
+    short = F.col("t1") - F.col("t0") < max_dur
+    marked = rows.withColumn("gone", short & (F.col("place") == 1) & F.lead("place").over(place).isNotNull()).withColumn("before", F.when(F.lag("gone").over(place), F.lag("t0").over(place)))
+    back = marked.where("not gone").select(key, F.col("place").alias("idx"), F.least("t0", "before").alias("t0"), "t1", "speaker")
+    return merge_touching(back, key)
 
 
 def refine_boundaries(df: DataFrame, max_intrusion: float = 0.18, padding: float = 0.04, min_segment: float = 0.12, gap: float = 0.25, key: str = KEY) -> DataFrame:
@@ -178,22 +173,27 @@ def postprocess_turns(df: DataFrame, gap: float = 0.4, key: str = KEY) -> DataFr
     return merge_same_speaker(refine_boundaries(turns, key=key), gap, key=key)
 
 
-def clip(df: DataFrame, vad: DataFrame, min_len: float = 0.12, key: str = KEY) -> DataFrame:
+def clip(df: DataFrame, vad: DataFrame, min_len: float = 0.12, key: str = KEY, size: float = BIN) -> DataFrame:
     """Each row's common time with every interval of `vad` (recording, t0, t1) in its recording, if min_len or longer. Rows of
-    recordings that `vad` doesn't have stay as they are."""
+    recordings that `vad` doesn't have stay as they are. size: seconds a bin of the range join; a pair counts in the bin where its common time begins."""
     spans = _known(vad).select(F.col(key).alias("vad_key"), F.col("t0").alias("v0"), F.col("t1").alias("v1"))
     rows = _known(df)
-    inside = rows.join(spans, (rows[key] == F.col("vad_key")) & (rows["t0"] < F.col("v1")) & (rows["t1"] > F.col("v0")))
-    clipped = inside.withColumn("t0", F.greatest("t0", "v0")).withColumn("t1", F.least("t1", "v1")).drop("vad_key", "v0", "v1")
+    left, right = _bins(rows.where("t1 >= t0"), "t0", "t1", size), _bins(spans.where("v1 >= v0"), "v0", "v1", size).withColumnRenamed("_bin", "_vad_bin")
+    inside = left.join(right, (left[key] == F.col("vad_key")) & (F.col("_bin") == F.col("_vad_bin"))).where((F.col("t0") < F.col("v1")) & (F.col("t1") > F.col("v0"))).where(_bin(F.greatest("t0", "v0"), size) == F.col("_bin"))
+    clipped = inside.withColumn("t0", F.greatest("t0", "v0")).withColumn("t1", F.least("t1", "v1")).drop("vad_key", "v0", "v1", "_bin", "_vad_bin")
     free = rows.join(spans.select("vad_key").distinct(), rows[key] == F.col("vad_key"), "left_anti")
     return at_least(clipped, min_len).unionByName(free)
 
 
 def flatten(df: DataFrame, min_len: float = 0.12, key: str = KEY) -> DataFrame:
     """recording, t0, t1, speaker without overlap: in the order of (t0, t1, speaker) a turn begins where the last kept one ended and is kept if
-    it then has min_len. A fold, as only kept turns move that end on."""
-    lists = _turn_list(df, ("t0", "t1", "speaker"), key)
+    it then has min_len. A fold, as only kept turns move that end on; a turn that begins where all earlier ones have ended is not touched by them, so the fold runs over islands of overlapping turns."""
     kept = "array<struct<t0:double,t1:double,speaker:string>>"
+    order = Window.partitionBy(key).orderBy("t0", "t1", "speaker")
+    reach = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(reach.isNull() | (F.col("t0") >= reach), 1).otherwise(0)
+    islands = _known(df).select(key, "t0", "t1", "speaker").withColumn("opened", opened).withColumn("island", F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = islands.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct("t0", "t1", "speaker"))).alias("turns"))
 
     def step(done: Column, x: Column) -> Column:
         start = F.greatest(x["t0"], F.coalesce(F.get(done, F.size(done) - 1)["t1"], x["t0"]))

@@ -48,19 +48,21 @@ def median_smooth(df: DataFrame, label: str, width: int = 3, key: str = KEY) ->
 
 
 def remove_micro_switches(df: DataFrame, min_run: float = 0.35, key: str = KEY) -> DataFrame:
-    """A row under min_run long between two rows of one other label takes theirs. Left to right, so a change counts for the next row: a fold."""
+    """A row under min_run long between two rows of one other label takes theirs. Left to right, so a change counts for the next row: a fold. Rows of min_run or longer never
+    change, so the fold runs over stretches of short rows behind one of these."""
     turn = "struct<idx:bigint,t0:double,t1:double,speaker:string>"
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), "t0", "t1", "speaker"))).alias("rows"))
-    state = f"struct<n:int,out:array<{turn}>>"
+    order = Window.partitionBy(key).orderBy("idx")
+    ordered = df.select(key, F.col("idx").cast("long").alias("idx"), "t0", "t1", "speaker").withColumn("after", F.lead("speaker").over(order)).withColumn("fixed", F.when(F.col("t1") - F.col("t0") < min_run, 0).otherwise(1))
+    stretches = ordered.withColumn("stretch", F.sum("fixed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = stretches.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("idx", "t0", "t1", "speaker", "after"))).alias("rows"))
 
-    def step(acc: Column, x: Column) -> Column:
-        before, after = F.get(acc["out"], acc["n"] - 1)["speaker"], F.get(F.col("rows"), acc["n"] + 1)["speaker"]
-        switch = (before == after) & (before != x["speaker"]) & (x["t1"] - x["t0"] < min_run)
+    def step(out: Column, x: Column) -> Column:
+        before = F.get(out, F.size(out) - 1)["speaker"]
+        switch = (before == x["after"]) & (before != x["speaker"]) & (x["t1"] - x["t0"] < min_run)
         changed = F.struct(x["idx"].alias("idx"), x["t0"].alias("t0"), x["t1"].alias("t1"), F.when(switch, before).otherwise(x["speaker"]).alias("speaker"))
-        return F.struct((acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(changed)).alias("out")).cast(state)
+        return F.concat(out, F.array(changed)).cast(f"array<{turn}>")
 
-    start = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{turn}>").alias("out")).cast(state)
-    return lists.select(key, F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select(key, "r.*")
+    return lists.select(key, F.explode(F.aggregate("rows", F.array().cast(f"array<{turn}>"), step)).alias("r")).select(key, "r.*")
 
 
 def runs(df: DataFrame, label: str = "speaker", key: str = KEY) -> DataFrame:

@@ -15,6 +15,7 @@ from parley.functions import text as T
 from parley.operators import intervals as I
 from parley.operators import sequences as S
 from parley.operators import vectors as V
+from parley.plans import refinement, signals
 from parley.streaming import turns as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +85,6 @@ QUERIES: dict[str, Query] = {
     "indexed_rows": lambda s, d: T.indexed(said(s, d)).select("recording", "id", "speaker", "duration_sec"),
     "share_times": lambda s, d: T.share_times(said(s, d).withColumnRenamed("idx", "part"), ["recording"], F.lit(60.0)).select("recording", "part", F.round("start", 6).alias("start"), F.round("end", 6).alias("end")),
     "deduplicated_turns": lambda s, d: R.deduplicated(_twice(s, d)).select("recording", "place", "seq", "speaker", "text"),
-    "agglomerate": lambda s, d: V.agglomerate(_vectors(s, d).select(F.col("label").alias("recording"), F.col("vec_id").alias("idx"), "embedding"), threshold=0.9),
 }
 
 
@@ -166,3 +166,6 @@ SELECT recording, part, round(CASE WHEN a > 0 THEN r / a - n / a ELSE i / k - 1.
 g AS (SELECT *, min(seq) OVER w AS place, row_number() OVER (w ORDER BY (speaker <> '') DESC, seq DESC) AS k FROM d WINDOW w AS (PARTITION BY recording, start, "end", trim(text)))
 SELECT recording, place, seq, speaker, text FROM g WHERE k = 1""",
 }
+
+QUERIES |= refinement.QUERIES | signals.QUERIES
+ORACLE_SQL |= refinement.oracle_sql(_TURNS) | signals.ORACLE_SQL
