@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import materialize
+from parley.operators.components import materialize
+
 
 NONE = -(2**50)
 QUERY_LEAF, CANDIDATE_LEAF, CANDIDATE_BLOCK, QUERY_BLOCK = 64, 256, 16384, 4096

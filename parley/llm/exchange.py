@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, partitions, slices
+from parley.llm.common import partitions, slices
+from parley.operators.components import materialize
 
 UNIT_BYTES = 8 << 20
 #: A bucket holds the entries of so many whole units, or fewer: what a task keeps in memory at a time.

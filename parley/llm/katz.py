@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, new_folder
+from parley.llm.common import new_folder
 from parley.llm.exchange import ask, bundle, get_arrays, put_arrays, store_units, told, unpacked
+from parley.operators.components import materialize
 
 ORDER, TOP = 2, 5
 _UNIT = 10 << 20

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, slices
-from parley.llm.components import connected_components
+from parley.llm.common import slices
+from parley.operators.components import connected_components, materialize
 
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import WORD, materialize
+from parley.llm.common import WORD
+from parley.operators.components import materialize
 
 WEIGHTS, SHARE, MOST_EPOCHS, SEED, RANGE_ROWS = (3, 1, 2), 1.5, 2, "mix-1", 4096
 

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import minhash
-from parley.llm.common import materialize, partitions
-from parley.llm.components import connected_components
+from parley.llm.common import partitions
+from parley.operators.components import connected_components, materialize
 
 BITS, LIMIT, FAN, LARGE, FRONTIER = 64, 3, 8, 4096, 1 << 20
 _ONE = np.uint64(1)

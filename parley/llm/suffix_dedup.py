@@ -24,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, new_folder
+from parley.llm.common import new_folder
 from parley.llm.exchange import ask, get, get_arrays, packed, put_arrays, store_units, told, unpacked
+from parley.operators.components import materialize
 
 WIDTH, K = 50, 20
 SPAN = WIDTH - K + 1
