@@ -37,15 +37,14 @@ from parley.llm.common import Memo, list_table, new_folder, partitions, regroupe
 from parley.llm.mph import MinimalPerfectHash, mix
 
 _KEY_SEED, _PRINT_SEED = 0, 1
-#: Bytes of text at a time; bytes of text a shard, where the caller names no number of shards; most shards a lookup takes.
-_PIECE, SHARD_BYTES, MOST_SHARDS = 4 << 20, 512 << 20, 1 << 20
+#: Bytes of text at a time; bytes of text a shard, where the caller names no number of shards; most shards a lookup takes; parts whose ids a task keeps.
+_PIECE, SHARD_BYTES, MOST_SHARDS, _KNOWN = 16 << 20, 512 << 20, 1 << 20, 1 << 18
 #: What `by_words` tries: words of letters, digits, marks, signs, combining characters and other scripts, and what may part them.
 _WORDS = ("a", "Bc", "1", "23", "x9", "'", "'s", "it's", "don't", "-", "...", "a.b", "<|", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "日本", "ß", "İ", "_", "🎉", "\u200d", "ﬁ", "#x")
 _GAPS = (" ", "\n", "\t", "\r", "\x0b", "\x0c", "  ", " \n ")
 
 
-#: Words of a-z; a run of ASCII signs but the apostrophe, between ASCII letters or digits or at a word's end.
-_LETTERS = re.compile(r"[a-z]+")
+#: A run of ASCII signs but the apostrophe, between ASCII letters or digits or at a word's end.
 _SIGNS = r"([A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)(?:([A-Za-z0-9])|$)"
 
 
@@ -79,14 +78,8 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width, self.words, self.signs = Tokenizer.from_str(tokenizer_json), width, words, signs
-        self.model, self.code = self.tokenizer.model, "H" if width == 2 else "I"
-        self.known = Memo(self.part if letters else lambda word: self.packed([word])[0], 1 << 18)
-
-    def part(self, word: str) -> bytes:
-        if _LETTERS.fullmatch(word):
-            ids = [t.id for t in self.model.tokenize(word)]
-            return struct.pack(f"<{len(ids)}{self.code}", *ids)
-        return self.packed([word])[0]
+        self.model, self.code, self.letters = self.tokenizer.model, "H" if width == 2 else "I", letters
+        self.known: dict[str, bytes] = {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x.ids)}{self.code}", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,7 +104,22 @@ class TextIds:
         return regrouped(table.take(coded.indices), np.asarray(pc.list_value_length(parts)))
 
     def of_parts(self, parts: list[str]) -> list[bytes]:
-        return list(map(self.known.__getitem__, parts))
+        """Id bytes of each part; those of the first _KNOWN parts of up to Memo.CHARS characters are kept for later pieces."""
+        out = list(map(self.known.get, parts))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        rest = []
+        for i in new:
+            word = parts[i]
+            if self.letters and word.isascii() and word.isalpha() and word.islower():
+                ids = [t.id for t in self.model.tokenize(word)]
+                out[i] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self.packed([parts[i] for i in rest]), strict=True):
+            out[i] = ids
+        room = _KNOWN - len(self.known)
+        self.known.update((parts[i], out[i]) for i in new[: max(0, room)] if len(parts[i]) <= Memo.CHARS)
+        return out
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
