@@ -134,7 +134,7 @@ QUERIES: dict[str, Query] = {
     "resolved_patches": lambda s, d: _resolved(s, d).select("recording", "place", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")),
     "merge_groups": lambda s, d: P.merge_groups(_resolved(s, d)),
     "corrected_rows": _corrected,
-    "json_documents": lambda s, d: sinks.json_documents(_corrected(s, d)),
+    "json_documents": lambda s, d: sinks.json_documents(_corrected(s, d), pretty=False),
     "final_turns": lambda s, d: R.final(_events(s, d)).select("recording", "seq"),
     "turn_confidence": lambda s, d: R.confidence(_events(s, d)).select("recording", "seq", F.round("confidence", 8).alias("confidence"), F.get("words", F.lit(0))["speaker"].alias("speaker")),
     "name_numbers": lambda s, d: segments(s, d).select("recording", "idx", S.number_of_name(F.when(F.col("idx") % 3 != 0, S.numbered_name(F.col("cluster"))).otherwise("other")).alias("number")),
@@ -205,3 +205,7 @@ SELECT recording, (row_number() OVER (PARTITION BY recording ORDER BY round(star
     "name_numbers": f"WITH {_SEGMENTS} SELECT recording, idx, CASE WHEN idx % 3 <> 0 THEN cluster ELSE 0 END AS number FROM segments",
 }
 ORACLE_SQL["json_array"] = f"""WITH {_UTTERANCES} SELECT DISTINCT recording, '[{{"id": 1, "speaker": " ", "text": " FIRST ROW "}}, {{"id": "2", "speaker": "a", "text": "— one PART"}}, 7, {{"source_ids": [2], "text": "the Other part is longer"}}, {{"source_ids": [4, 3], "speaker": "", "text": ""}}, {{"source_ids": [4, 5], "speaker": "b", "text": "joined"}}, {{"id": 99, "text": "nowhere"}}]' AS json FROM utterances"""
+ORACLE_SQL["json_documents"] = f"""SELECT recording, to_json(list({{'speaker': speaker, 'start': start, 'end': "end", 'text': text}} ORDER BY idx))::VARCHAR AS json FROM ({ORACLE_SQL["corrected_rows"]}) GROUP BY recording"""
+ORACLE_SQL["pitch"] = f"""WITH {_SEGMENTS}, y AS (SELECT recording, idx, list_transform(embedding, lambda x: x - list_avg(embedding)) AS y FROM segments),
+a AS (SELECT recording, idx, k, list_sum(list_transform(range(1, 65), lambda i: y[i] * y[(i - 1 + k) % 64 + 1])) AS likeness FROM y, range(2, 11) r(k))
+SELECT recording, idx, round(800.0::DOUBLE / arg_max(k, likeness), 4) AS hz FROM a GROUP BY recording, idx"""

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PRETTY = {"pretty": "true", "ignoreNullFields": "false"}
 
-
-def json_documents(rows: DataFrame, columns: tuple[str, ...] = ("speaker", "start", "end", "text"), order: tuple[str, ...] = ("idx",), key: str = "recording") -> DataFrame:
-    """recording, json: one array document of each recording's rows, in order, letters unescaped, nulls written. A recording's rows meet in one row, as the document does."""
+def json_documents(rows: DataFrame, columns: tuple[str, ...] = ("speaker", "start", "end", "text"), order: tuple[str, ...] = ("idx",), key: str = "recording", pretty: bool = True) -> DataFrame:
+    """recording, json: one array document of each recording's rows, in order, letters unescaped, nulls written, indented or not. A recording's rows meet in one row, as the document does."""
     keyed = F.struct(F.struct(*order).alias("at"), F.struct(*columns).alias("row"))
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(keyed)).alias("all")).select(key, F.to_json(F.transform("all", lambda x: x["row"]), _PRETTY).alias("json"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(keyed)).alias("all")).select(key, F.to_json(F.transform("all", lambda x: x["row"]), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("json"))
 
 
 def write_json(rows: DataFrame, folder: str, suffix: str = "_diarization_asr.json", key: str = "recording", **how) -> None:

@@ -189,3 +189,20 @@ def test_one_recording_of_many_turns(spark):
     assert I.absorb_short(turns, 1.0).count() > 0 and S.remove_micro_switches(turns, 0.3).count() == n
     vad = I.merge_intervals(turns.where("idx % 100 < 50"), 0.1)
     assert I.clip(turns, vad).count() > 0
+
+
+@pytest.mark.parametrize("how", [{"k": 3, "threshold": None}, {"k": None, "threshold": 0.6}])
+def test_average_linkage_joins_the_nearest_clusters(how):
+    for seed in range(5):
+        x = np.random.default_rng(seed).normal(size=(14, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        distance = 1 - x @ x.T
+        clusters = [{i} for i in range(14)]
+        while len(clusters) > (how["k"] or 1):
+            mean = {(i, j): np.mean([distance[a, b] for a in clusters[i] for b in clusters[j]]) for i, j in itertools.combinations(range(len(clusters)), 2)}
+            i, j = min(mean, key=mean.get)
+            if how["threshold"] is not None and mean[i, j] >= how["threshold"]:
+                break
+            clusters[i] |= clusters.pop(j)
+        got = V.average_linkage(distance, **how)
+        assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())} == set(map(frozenset, clusters))
