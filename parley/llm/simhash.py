@@ -3,7 +3,7 @@
 Search. Two fingerprints of at most three differing bits agree in one of four 16-bit blocks, so each distinct
 fingerprint goes to four groups, one a block. A group that is still large is split the same way on the bits it leaves
 open (four blocks of the remaining 48, then of the remaining 36): again one block must agree, so no link is lost and no
-group of many fingerprints meets in one task unless they agree in most bits. Tasks sort their groups by the Gray rank
+group of many fingerprints meets in one task unless they agree in 37 bits, of which there are 2**27 at most. Tasks sort their groups by the Gray rank
 of the fingerprint and build a hierarchy over that order: a node holds the bits that all its members share (mask and
 pattern) less those its parent holds. A search adds up differing bits from the root down and leaves a whole subtree as
 soon as the sum passes the limit. Only a spanning forest of a task's links goes on, so a dense group of m fingerprints yields m-1 links, not m*m.
@@ -24,7 +24,7 @@ from parley.llm import minhash
 from parley.llm.common import partitions
 from parley.operators.components import connected_components, materialize
 
-BITS, LIMIT, FAN, LARGE, FRONTIER = 64, 3, 8, 4096, 1 << 20
+BITS, LIMIT, FAN, LARGE, FRONTIER, AT_ONCE = 64, 3, 8, 4096, 1 << 20, 1 << 17
 _ONE = np.uint64(1)
 
 
@@ -178,18 +178,26 @@ def _grouped(codes: DataFrame, large: int) -> DataFrame:
 def near_links(codes: DataFrame, large: int = LARGE) -> DataFrame:
     """a, b: links that connect exactly the distinct fingerprints `fp` joined by chains of at most LIMIT differing bits a step."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        table = pa.Table.from_batches(found)
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        groups = table.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+    def linked(fps: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        groups = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
         a, b = GrayIndex(fps, groups).links()
-        yield pa.RecordBatch.from_arrays([pa.array(fps[a].view(np.int64)), pa.array(fps[b].view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fps[a].view(np.int64)), pa.array(fps[b].view(np.int64))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; whole groups of about AT_ONCE rows together are in memory at a time."""
+        fps, keys = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
+            keys = np.concatenate([keys, batch.column("key").to_numpy()])
+            ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if len(keys) >= AT_ONCE and len(ends):
+                yield linked(fps[: ends[-1]], keys[: ends[-1]])
+                fps, keys = fps[ends[-1] :], keys[ends[-1] :]
+        if len(keys):
+            yield linked(fps, keys)
 
     grouped = _grouped(codes, large).withColumn("key", F.xxhash64("key"))
-    return grouped.repartition(4 * partitions(codes.sparkSession), "key").mapInArrow(run, "a long, b long").distinct()
+    return grouped.repartition(4 * partitions(codes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
