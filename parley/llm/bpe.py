@@ -8,7 +8,9 @@ O(n log n) for a pre-token of n bytes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -17,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from parley.llm.common import Memo, list_table, regrouped, slices
 from parley.llm.mph import MinimalPerfectHash
@@ -179,15 +180,34 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def digest(decoded: DataFrame, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 digests of the ids, as decimals joined by commas, and of the decoded bytes; with the ids themselves if wanted."""
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        *(["ids"] if ids else []),
-    )
+def coded(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 digests (lower-case hex) of each row's ids, as decimals joined by commas, and of the bytes that the ids decode to; with the ids themselves
+    if wanted. `encode` and `decode` in one pass, so that ids don't travel between two of them. Null text counts as empty; other columns are ignored; repeated rows give repeated rows; an empty table gives none."""
+    tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, table, decimals = Vocabulary(tokens.value, pattern), pa.array(tokens.value, pa.large_binary()), pa.array([f",{i}" for i in range(len(tokens.value))], pa.large_binary())
+        for batch in batches:
+            for piece in slices(batch, _PIECE):
+                lists = vocabulary.columns(piece.column("text"))
+                ends = np.asarray(lists.offsets)
+                digests = []
+                for of, skip in ((decimals, 1), (table, 0)):  # what an id is written as: its decimals behind a comma, which the first one loses, or its bytes
+                    parts = of.take(lists.values)
+                    at = np.frombuffer(parts.buffers()[1], np.int64)[ends] if len(parts) else np.zeros(len(ends), np.int64)
+                    data = memoryview(parts.buffers()[2]) if len(parts) else memoryview(b"")
+                    digests.append(pa.array([hashlib.sha256(data[a + skip if b > a else a : b]).hexdigest() for a, b in itertools.pairwise(at.tolist())], pa.string()))
+                    del parts, data
+                columns = [piece.column("doc_id"), pa.array(np.diff(ends), pa.int64()), *digests, *([lists.cast(pa.list_(pa.int32()))] if ids else [])]
+                made = pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
+                start = 0
+                while start < len(made):  # about _OUT_IDS ids at a time, one row at least
+                    stop = max(start + 1, int(np.searchsorted(ends, ends[start] + _OUT_IDS, "right")) - 1) if ids else len(made)
+                    yield made.slice(start, stop - start)
+                    start = stop
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if ids else ''}")
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
@@ -195,4 +215,4 @@ def op2_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digest(decode(encode(docs, path, public_tokenizers.PATTERN), path))
+    return coded(docs, path, public_tokenizers.PATTERN)

@@ -1,7 +1,8 @@
 """Links between texts whose sets of five-word shingles are alike, found by MinHash bands and checked exactly.
 
 Texts of equal shingle sets share one sketch. A sketch has BANDS keys, each of ROWS minima; texts of similarity s share
-a key with probability 1 - (1 - s^ROWS)^BANDS: at the least similarity of 0.8, 26 in a million are missed. Every pair that
+a key with probability 1 - (1 - s^ROWS)^BANDS: at the least similarity of 0.8, 26 in a million are missed. A byte of each of the BANDS * ROWS minima goes along, and pairs that agree in
+fewer than AGREE of them go no further: at 0.8 less than one in a million agrees in so few, at 0.4 two in a thousand in as many. Every other pair that
 shares a key is checked on its whole texts, but for pairs that a chain of checked links joins already: a first round
 checks each text against the least of its key, a second one the pairs of a key that are still in different groups. So
 a key that m copies share costs about m checks, not m*m.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from parley.llm.common import slices
 from parley.operators.components import connected_components, materialize
 
-WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
+WIDTH, LEAST, BANDS, ROWS, AGREE = 5, 0.8, 20, 4, 45
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -34,11 +35,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(s, 42) for s in found], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
+def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """Band keys, and a byte of each minimum."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[i : i + 1024, None] * _FACTORS).min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+    return [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -47,16 +49,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the shingle set, band keys."""
+    """doc_id, digest of the shingle set, band keys, code: a byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for big in batches for piece in slices(big, 4 << 20)):
             sets = [shingles(t.as_py()) for t in batch.column("text")]
-            keys = np.array([band_keys(s) for s in sets], np.uint64).view(np.int64).reshape(len(sets), BANDS)
+            made = [sketch(s) for s in sets]
+            keys = np.array([k for k, _ in made], np.uint64).view(np.int64).reshape(len(sets), BANDS)
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, pa.array(list(keys), pa.list_(pa.int64())), pa.array([c for _, c in made], pa.binary())], names=["doc_id", "digest", "keys", "code"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, keys array<long>, code binary")
+
+
+def _likely(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose codes agree in AGREE bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    one, two = (firsts.select(F.col("id").alias(k), F.col("code").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -77,13 +93,13 @@ def _checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """a, b: doc_ids of rows (doc_id, text) that links of at least that similarity connect. doc_id must be unique and not null."""
     rows = materialize(_sketches(docs))
-    firsts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
+    firsts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("code").alias("code")))
     equal = rows.join(firsts.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     keyed = firsts.select("id", F.explode("keys").alias("key"))
     leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(keyed.join(leads, "key"))
     starred = materialize(shared.where("id > lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
-    found = materialize(_checked(starred, docs, least))
+    found = materialize(_checked(materialize(_likely(starred, firsts)), docs, least))
     groups = connected_components(found)
     placed = shared.where("n > 2").join(groups, shared.id == groups.node, "left").select("key", "id", F.coalesce("component", "id").alias("group"))
     placed = materialize(placed)
@@ -91,6 +107,6 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     apart = apart.withColumnRenamed("group", "g").join(apart.withColumnRenamed("group", "h"), "key").where("g < h")
     one, two = (placed.select("key", F.col("id").alias(k), F.col("group").alias(g)) for k, g in (("x", "g"), ("y", "h")))
     rest = apart.join(one, ["key", "g"]).join(two, ["key", "h"]).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    rest = materialize(rest.join(starred, ["a", "b"], "left_anti"))
+    rest = materialize(_likely(rest.join(starred, ["a", "b"], "left_anti"), firsts))
     linked = equal.unionByName(found)
     return linked if rest.isEmpty() else linked.unionByName(_checked(rest, docs, least))

@@ -195,3 +195,15 @@ def test_bpe_agrees_with_tiktoken(spark):
     rows = [(1, "Hello  world\n\n été naïve 12345 \t x"), (2, None), (3, ""), (4, "aaaa" * 500), (5, "日本語 テキスト 🎉🎉"), (6, "it's I'LL <|endoftext|>")]
     found = {r["doc_id"]: (list(r["ids"]), bytes(r["decoded"]).decode()) for r in bpe.decode(bpe.encode(table(spark, rows), path, public.PATTERN), path).collect()}
     assert found == {i: (encoding.encode_ordinary(t or ""), t or "") for i, t in rows}
+
+
+@pytest.mark.parametrize("rows", [[(1, "Hello  world\n\n été 12345"), (2, None), (3, ""), (3, ""), (None, "aaaa" * 500), (5, "日本語 🎉")], []])
+def test_one_pass_gives_the_digests_of_two(spark, rows):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, rows)
+    two = bpe.decode(bpe.encode(docs, path, public.PATTERN), path).collect()
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    want = sorted(((r["doc_id"], len(r["ids"]), sha(",".join(map(str, r["ids"])).encode()), sha(bytes(r["decoded"])), list(r["ids"])) for r in two), key=str)
+    assert sorted(((*r[:4], list(r[4])) for r in bpe.coded(docs, path, public.PATTERN, ids=True).collect()), key=str) == want
+    assert sorted(map(tuple, bpe.coded(docs, path, public.PATTERN).collect()), key=str) == [r[:4] for r in want]
