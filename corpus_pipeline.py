@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests and the token ids of each row, in as many rows as came; the ids were decoded again for decoded_sha256."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path), ids=True)
+    return bpe.coded(docs, path, public_tokenizers.PATTERN, ids=True)
 
 
 STAGES = [("quality rules", keep_good), ("near-duplicates", drop_near_copies), ("repeated passages", cut_repeats), ("source mix", mix_sources), ("token ids", tokenise)]
