@@ -2,7 +2,7 @@
 
 Texts of equal shingle sets share one sketch. A sketch has BANDS keys, each of ROWS minima; texts of similarity s share
 a key with probability 1 - (1 - s^ROWS)^BANDS: at the least similarity of 0.8, 26 in a million are missed. A byte of each of the BANDS * ROWS minima goes along, and pairs that agree in
-fewer than AGREE of them go no further: at 0.8 less than one in a million agrees in so few, at 0.4 two in a thousand in as many. Every other pair that
+fewer than AGREE of them go no further: at 0.8 less than one in a million agrees in so few, at 0.4 three in a thousand in as many. Every other pair that
 shares a key is checked on its whole texts, but for pairs that a chain of checked links joins already: a first round
 checks each text against the least of its key, a second one the pairs of a key that are still in different groups. So
 a key that m copies share costs about m checks, not m*m.
