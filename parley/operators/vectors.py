@@ -19,13 +19,15 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """To length 1; a zero vector stays."""
+    """To length 1; a zero vector stays. The norm is bound by an outer lambda, so it is taken once a vector and not once a component."""
     norm = F.sqrt(_dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    return F.transform(F.array(F.when(norm > 0, norm).otherwise(1.0)), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return _dot(normalised(a), normalised(b))
+    """0 where a vector is zero."""
+    size = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(size > 0, _dot(a, b) / size).when(size == 0, 0.0)
 
 
 def means(df: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
