@@ -3,13 +3,16 @@
 Texts of equal shingle sets share one sketch. A sketch has BANDS keys, each of ROWS minima; texts of similarity s share
 a key with probability 1 - (1 - s^ROWS)^BANDS: at the least similarity of 0.8, 26 in a million are missed. A byte of each of the BANDS * ROWS minima goes along, and pairs that agree in
 fewer than AGREE of them go no further: at 0.8 less than one in a million agrees in so few, at 0.4 three in a thousand in as many. Every other pair that
-shares a key is checked on its whole texts, but for pairs that a chain of checked links joins already: a first round
-checks each text against the least of its key, a second one the pairs of a key that are still in different groups. So
-a key that m copies share costs about m checks, not m*m.
+shares a key is checked on its whole texts, but for pairs that a chain of checked links joins already.
+
+A first round checks each text against the one of its key that shares most keys with others, which in a group of near copies is mostly their original. In a second round the texts of a key
+that are still in different groups meet in blocks of CELL, once with their codes to find those that have a likely partner at all, then these with their texts. No pair leaves a task but
+the links of a spanning forest, so a key that m copies share costs about m checks, and one of m texts that aren't alike no more than m rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from parley.llm.common import slices
 from parley.operators.components import connected_components, materialize
 
-WIDTH, LEAST, BANDS, ROWS, AGREE = 5, 0.8, 20, 4, 45
+WIDTH, LEAST, BANDS, ROWS, AGREE, CELL = 5, 0.8, 20, 4, 45, 1024
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -90,23 +93,109 @@ def _checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """`rows` (key, id, group and others) of the keys that hold several groups, with `cell` and `block`, sorted by cell: rows of a key are dealt to blocks, and each two blocks, and each block by itself, are a cell."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("blocks"), F.count_distinct("group").alias("groups")).where("groups > 1").select("key", "blocks")
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    celled = each.withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).withColumn("across", F.col("block") != F.col("other")).drop("blocks", "other")
+    return celled.repartition("cell").sortWithinPartitions("cell")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for start, stop in itertools.pairwise(cuts):
+            if held and stop > start and held[-1].column("cell")[0].as_py() != cell[start]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _likely_in(cell: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of a row and of its likely partners of other groups behind it in the cell."""
+    codes = np.frombuffer(b"".join(cell.column("code").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    group, block = cell.column("group").to_numpy(), cell.column("block").to_numpy()
+    across = bool(cell.column("across")[0].as_py())
+    for i in range(len(codes) - 1):
+        rest = slice(i + 1, None)
+        ok = (group[rest] != group[i]) & ((block[rest] != block[i]) | (not across))
+        if ok.any():
+            found = np.flatnonzero(ok & ((codes[rest] == codes[i]).sum(axis=1) >= AGREE)) + i + 1
+            if len(found):
+                yield i, found
+
+
+def _active(placed: DataFrame, kind: str) -> DataFrame:
+    """key, id of the rows that have a likely partner in another group of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            hit = np.zeros(cell.num_rows, bool)
+            for i, found in _likely_in(cell):
+                hit[i] = hit[found] = True
+            if hit.any():
+                yield from cell.select(["key", "id"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return _in_cells(placed).mapInArrow(run, f"key long, id {kind}").distinct()
+
+
+def _met(rows: DataFrame, kind: str, least: float) -> DataFrame:
+    """a, b: links that join groups, from rows (key, id, group, code, keys, text) whose likely pairs are checked in the cell of the least key that both have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            key, ids, group, texts = (cell.column(c).to_pylist() for c in ("key", "id", "group", "text"))
+            keys = [set(k) for k in cell.column("keys").to_pylist()]
+            sets: dict[int, np.ndarray] = {}
+            root = {g: g for g in group}
+
+            def find(g: int, root: dict[int, int] = root) -> int:
+                while root[g] != g:
+                    root[g] = root[root[g]]
+                    g = root[g]
+                return g
+
+            links = []
+            for i, found in _likely_in(cell):
+                for j in found.tolist():
+                    if find(group[i]) == find(group[j]) or min(keys[i] & keys[j]) != key[i]:
+                        continue
+                    x, y = (sets.setdefault(p, shingles(texts[p])) if p not in sets else sets[p] for p in (i, j))
+                    if similarity(x, y) >= least:
+                        root[find(group[i])] = find(group[j])
+                        links.append((ids[i], ids[j]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, cell.schema.field("id").type) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    return _in_cells(rows).mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """a, b: doc_ids of rows (doc_id, text) that links of at least that similarity connect. doc_id must be unique and not null."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(_sketches(docs))
     firsts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("code").alias("code")))
     equal = rows.join(firsts.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     keyed = firsts.select("id", F.explode("keys").alias("key"))
-    leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(leads, "key"))
-    starred = materialize(shared.where("id > lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    known = shared.join(shared.groupBy("id").agg(F.sum("n").alias("met")), "id")
+    leads = known.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("lead"))
+    starred = shared.join(leads, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     found = materialize(_checked(materialize(_likely(starred, firsts)), docs, least))
     groups = connected_components(found)
     placed = shared.where("n > 2").join(groups, shared.id == groups.node, "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-    placed = materialize(placed)
-    apart = placed.select("key", "group").distinct()
-    apart = apart.withColumnRenamed("group", "g").join(apart.withColumnRenamed("group", "h"), "key").where("g < h")
-    one, two = (placed.select("key", F.col("id").alias(k), F.col("group").alias(g)) for k, g in (("x", "g"), ("y", "h")))
-    rest = apart.join(one, ["key", "g"]).join(two, ["key", "h"]).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    rest = materialize(_likely(rest.join(starred, ["a", "b"], "left_anti"), firsts))
+    active = materialize(_active(placed.join(firsts.select("id", "code"), "id"), kind))
     linked = equal.unionByName(found)
-    return linked if rest.isEmpty() else linked.unionByName(_checked(rest, docs, least))
+    if active.isEmpty():
+        return linked
+    of_id = active.groupBy("id").agg(F.collect_list("key").alias("at"))
+    whole = of_id.join(firsts, "id").join(groups, F.col("id") == F.col("node"), "left").join(docs.select(F.col("doc_id").alias("_d"), "text"), F.col("id") == F.col("_d"))
+    again = whole.select(F.explode("at").alias("key"), "id", F.coalesce("component", "id").alias("group"), "code", "keys", "text")
+    return linked.unionByName(_met(again, kind, least))
