@@ -119,21 +119,21 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _likely_in(cell: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of a row and of its likely partners of other groups behind it in the cell."""
+    """Places of a row and of its likely partners of other groups behind it in the cell. A pair that shares several keys counts in the cell of its first band alone: bands are equal where their bytes in the codes are."""
     codes = np.frombuffer(b"".join(cell.column("code").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
     group, block = cell.column("group").to_numpy(), cell.column("block").to_numpy()
-    across = bool(cell.column("across")[0].as_py())
+    across, band = bool(cell.column("across")[0].as_py()), cell.column("band")[0].as_py()
     for i in range(len(codes) - 1):
-        rest = slice(i + 1, None)
-        ok = (group[rest] != group[i]) & ((block[rest] != block[i]) | (not across))
-        if ok.any():
-            found = np.flatnonzero(ok & ((codes[rest] == codes[i]).sum(axis=1) >= AGREE)) + i + 1
-            if len(found):
-                yield i, found
+        rest = np.flatnonzero((group[i + 1 :] != group[i]) & ((block[i + 1 :] != block[i]) | (not across))) + i + 1
+        same = codes[rest] == codes[i]
+        near = same.sum(axis=1) >= AGREE
+        found = rest[near][same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(found):
+            yield i, found
 
 
 def _active(placed: DataFrame, kind: str) -> DataFrame:
-    """key, id of the rows that have a likely partner in another group of the key."""
+    """key, band, id of the rows that have a likely partner in another group of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
@@ -141,18 +141,17 @@ def _active(placed: DataFrame, kind: str) -> DataFrame:
             for i, found in _likely_in(cell):
                 hit[i] = hit[found] = True
             if hit.any():
-                yield from cell.select(["key", "id"]).filter(pa.array(hit)).combine_chunks().to_batches()
+                yield from cell.select(["key", "band", "id"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    return _in_cells(placed).mapInArrow(run, f"key long, id {kind}").distinct()
+    return _in_cells(placed).mapInArrow(run, f"key long, band int, id {kind}").distinct()
 
 
 def _met(rows: DataFrame, kind: str, least: float) -> DataFrame:
-    """a, b: links that join groups, from rows (key, id, group, code, keys, text) whose likely pairs are checked in the cell of the least key that both have."""
+    """a, b: links that join groups, from rows (key, band, id, group, code, text) whose likely pairs are checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
-            key, ids, group, texts = (cell.column(c).to_pylist() for c in ("key", "id", "group", "text"))
-            keys = [set(k) for k in cell.column("keys").to_pylist()]
+            ids, group, texts = (cell.column(c).to_pylist() for c in ("id", "group", "text"))
             sets: dict[int, np.ndarray] = {}
             root = {g: g for g in group}
 
@@ -165,10 +164,12 @@ def _met(rows: DataFrame, kind: str, least: float) -> DataFrame:
             links = []
             for i, found in _likely_in(cell):
                 for j in found.tolist():
-                    if find(group[i]) == find(group[j]) or min(keys[i] & keys[j]) != key[i]:
+                    if find(group[i]) == find(group[j]):
                         continue
-                    x, y = (sets.setdefault(p, shingles(texts[p])) if p not in sets else sets[p] for p in (i, j))
-                    if similarity(x, y) >= least:
+                    for p in (i, j):
+                        if p not in sets:
+                            sets[p] = shingles(texts[p])
+                    if similarity(sets[i], sets[j]) >= least:
                         root[find(group[i])] = find(group[j])
                         links.append((ids[i], ids[j]))
             if links:
@@ -183,19 +184,19 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = materialize(_sketches(docs))
     firsts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("code").alias("code")))
     equal = rows.join(firsts.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    keyed = firsts.select("id", F.explode("keys").alias("key"))
+    keyed = firsts.select("id", F.posexplode("keys").alias("band", "key"))
     shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     known = shared.join(shared.groupBy("id").agg(F.sum("n").alias("met")), "id")
     leads = known.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("lead"))
     starred = shared.join(leads, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     found = materialize(_checked(materialize(_likely(starred, firsts)), docs, least))
     groups = connected_components(found)
-    placed = shared.where("n > 2").join(groups, shared.id == groups.node, "left").select("key", "id", F.coalesce("component", "id").alias("group"))
+    placed = shared.where("n > 2").join(groups, shared.id == groups.node, "left").select("key", "band", "id", F.coalesce("component", "id").alias("group"))
     active = materialize(_active(placed.join(firsts.select("id", "code"), "id"), kind))
     linked = equal.unionByName(found)
     if active.isEmpty():
         return linked
-    of_id = active.groupBy("id").agg(F.collect_list("key").alias("at"))
-    whole = of_id.join(firsts, "id").join(groups, F.col("id") == F.col("node"), "left").join(docs.select(F.col("doc_id").alias("_d"), "text"), F.col("id") == F.col("_d"))
-    again = whole.select(F.explode("at").alias("key"), "id", F.coalesce("component", "id").alias("group"), "code", "keys", "text")
+    of_id = active.groupBy("id").agg(F.collect_list(F.struct("key", "band")).alias("at"))
+    whole = of_id.join(firsts.select("id", "code"), "id").join(groups, F.col("id") == F.col("node"), "left").join(docs.select(F.col("doc_id").alias("_d"), "text"), F.col("id") == F.col("_d"))
+    again = whole.select(F.inline("at"), "id", F.coalesce("component", "id").alias("group"), "code", "text")
     return linked.unionByName(_met(again, kind, least))
