@@ -3,7 +3,7 @@
 Texts of equal shingle sets share one sketch. A sketch has BANDS keys, each of ROWS minima; texts of similarity s share
 a key with probability 1 - (1 - s^ROWS)^BANDS: at the least similarity of 0.8, 26 in a million are missed. A byte of each of the BANDS * ROWS minima goes along, and pairs that agree in
 fewer than AGREE of them go no further: at 0.8 less than one in a million agrees in so few, at 0.4 three in a thousand in as many. Every other pair that
-shares a key is checked on its whole texts, but for pairs that a chain of checked links joins already.
+shares a key is checked on its whole texts, but for pairs that checked links join already.
 
 A first round checks each text against the one of its key that shares most keys with others, which in a group of near copies is mostly their original. In a second round the texts of a key
 that are still in different groups meet in blocks of CELL, once with their codes to find those that have a likely partner at all, then these with their texts. No pair leaves a task but
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import slices
-from parley.operators.components import connected_components, materialize
+from parley.operators.components import materialize
 
 WIDTH, LEAST, BANDS, ROWS, AGREE, CELL = 5, 0.8, 20, 4, 45, 1024
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,7 +190,7 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     leads = known.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("lead"))
     starred = shared.join(leads, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     found = materialize(_checked(materialize(_likely(starred, firsts)), docs, least))
-    groups = connected_components(found)
+    groups = materialize(found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))  # texts of one lead, which are joined for certain
     placed = shared.where("n > 2").join(groups, shared.id == groups.node, "left").select("key", "band", "id", F.coalesce("component", "id").alias("group"))
     active = materialize(_active(placed.join(firsts.select("id", "code"), "id"), kind))
     linked = equal.unionByName(found)

@@ -216,8 +216,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that lead their group: those whose doc_id is the least of it. Groups join rows of near
     fingerprints and rows of alike shingle sets, as near copies often differ in more than LIMIT bits. doc_id must be unique; rows without one stay."""
     known = docs.where("doc_id is not null")
-    near = components(known).where("component_id < doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    later = connected_components(near.unionByName(minhash.links(known))).where("component < node").select(F.col("node").alias("doc_id"))
+    fps = materialize(fingerprints(known))
+    by_code = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    equal = fps.join(by_code, "fp").where("least < doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    one, two = (by_code.select(F.col("fp").alias(k), F.col("least").alias(x)) for k, x in (("a", "x"), ("b", "y")))
+    near = near_links(by_code.select("fp")).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    later = connected_components(equal.unionByName(near).unionByName(minhash.links(known))).where("component < node").select(F.col("node").alias("doc_id"))
     return docs.join(later, "doc_id", "left_anti").select(docs.columns)
 
 
