@@ -10,6 +10,7 @@ from parley.llm.bpe import op2_bpe
 from parley.llm.cover_tree import OP8_SQL, op8_topk
 from parley.llm.katz import op6_katz
 from parley.llm.mixing import OP7_SQL, op7_mixing
+from parley.llm.multi_index import op11_multi_index
 from parley.llm.quality import op3_quality
 from parley.llm.simhash import op5_simhash
 from parley.llm.suffix_dedup import op4_suffix_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_multi_index": op11_multi_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
