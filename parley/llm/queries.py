@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.bpe import op2_bpe
 from parley.llm.cover_tree import OP8_SQL, op8_topk
+from parley.llm.filter_audit import OP12_SQL, op12_filter_audit
 from parley.llm.katz import op6_katz
 from parley.llm.mixing import OP7_SQL, op7_mixing
 from parley.llm.multi_index import op11_multi_index
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_multi_index": op11_multi_index,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_topk": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
