@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.bpe import op2_bpe
+from parley.llm.conversation_repair import op13_conversation_repair
 from parley.llm.cover_tree import OP8_SQL, op8_topk
 from parley.llm.filter_audit import OP12_SQL, op12_filter_audit
 from parley.llm.katz import op6_katz
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_multi_index": op11_multi_index,
     "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
