@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.llm.common import partitions
 from parley.operators.components import materialize
 
 #: Rows that centroids and share are fitted on at most; rows of it that stand as queries; most centroids of a half; rows that a cell should hold on the average;
-#: rows of a shelf; queries that meet a shelf at once.
-SAMPLE, TRIALS, CENTROIDS, CELL, SHELF, TOGETHER = 16384, 512, 512, 16, 8192, 64
+#: rows of a shelf at most, and at least where there are too few shelves for all tasks; queries that meet a shelf at once.
+SAMPLE, TRIALS, CENTROIDS, CELL, SHELF, LEAST_SHELF, TOGETHER = 16384, 512, 512, 16, 8192, 256, 64
 ROUNDS, RECALL = 10, 0.95
 
 
@@ -148,12 +149,16 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, recall: float = RE
     """
     spark = candidates.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    picked = candidates.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow()
-    if not picked.num_rows:
+    n = candidates.count()
+    if not n:
         return spark.createDataFrame([], out)
+    order = F.xxhash64("vec_id", "v").bitwiseAND((1 << 40) - 1)
+    likely = candidates.where(order < (1 << 40) * min(1.0, (2 * sample + 1000) / n))  # so that few rows of each task go to the one that takes the first
+    picked = likely.orderBy(order, "vec_id").limit(sample).select("v").toArrow()
+    if not picked.num_rows:  # a few rows, repeated very often
+        picked = candidates.limit(1).select("v").toArrow()
     size = int(picked.column("v").combine_chunks().value_lengths()[0].as_py())
     points = np.unique(matrix(picked.column("v"), size), axis=0)
-    n = candidates.count()
     wanted = min(CENTROIDS, max(2, 2 ** int(np.ceil(np.log2(np.sqrt(n / CELL) + 1)))))
     first, second = centroids(points[:, : size // 2], wanted), centroids(points[:, size // 2 :], wanted)
     if share is None:
@@ -171,7 +176,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, recall: float = RE
     found = entries.groupBy("cell").count().toArrow()
     count = np.zeros(len(first) * len(second), np.int64)
     count[found.column("cell").to_numpy()] = found.column("count").to_numpy()
-    enough, (of_cell, parts) = max(share * n, k + 1), shelves(count, shelf)
+    enough = max(share * n, k + 1)
+    of_cell, parts = shelves(count, min(shelf, max(LEAST_SHELF, n // (4 * partitions(spark)))))
     index = spark.sparkContext.broadcast((count.reshape(len(first), len(second)), of_cell, parts))
     row = "shelf long, part long, asks int, id long, v array<double>, cell long, reach double"
 
