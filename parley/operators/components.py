@@ -1,7 +1,7 @@
 """Connected components of a graph in a table, by alternating large-star and small-star rounds of DataFrame operations.
 
 Each round joins edges only with one minimum per node, so a node of very high degree costs rows in proportion to its edges and
-never one task's memory: minima are pre-aggregated before the shuffle. Rounds are cut off from their lineage by reliable checkpoints, which
+never one task's memory: minima are pre-aggregated before the shuffle. Rounds are cut off from their lineage by files in the shared folder, which
 survive the loss of executors.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as Parquet and read again. For tables that rounds of joins hand on: a checkpoint keeps the estimated size of its plan, which every join multiplies, so after some rounds the estimates themselves are
+    numbers too long to work with; files have their own size, and small ones are broadcast."""
+    folder = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """large: link each node's larger neighbours to the least of the node and its neighbours. small: link its smaller neighbours, and the node, to it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -56,10 +65,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     and a place in it say. Self-loops make a node its own component; edges with a null end are ignored; repeated edges count once; an empty table gives an empty result. Other columns are ignored."""
     given = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     given = given.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    given = materialize(given)
+    given = stored(given)
     stars, last = given.where("a <> b"), None
     while True:
-        stars = materialize(_star(_star(stars, large=True), large=False))
+        stars = stored(_star(_star(stars, large=True), large=False))
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -183,39 +183,3 @@ def graph_partition(edges: DataFrame, nodes: DataFrame, k: int, key: str = KEY,
     kinds = dict(nodes.dtypes)
     keyed = nodes.select(F.col(key).alias("_k"), F.col("idx").alias("idx"))
     return keyed.groupBy("_k").cogroup(edges.groupBy(key)).applyInPandas(run, f"{key} {kinds[key]}, idx {kinds['idx']}, cluster long")
-
-
-def average_linkage(distance: np.ndarray, k: int | None, threshold: float | None) -> np.ndarray:
-    """Labels by repeatedly joining the two clusters of least mean distance, until k are left or that distance reaches threshold."""
-    n = len(distance)
-    d, size, label = distance.astype(float).copy(), np.ones(n), np.arange(n)
-    np.fill_diagonal(d, np.inf)
-    for left in range(n, (k or 1), -1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = min(i, j), max(i, j)
-        if threshold is not None and d[i, j] >= threshold or not np.isfinite(d[i, j]):
-            break
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[:, i], d[i, i], d[j], d[:, j] = d[i], np.inf, np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def agglomerate(df: DataFrame, k: int | None = None, threshold: float | None = 0.55, key: str = KEY, most: int = 4000) -> DataFrame:
-    """recording, idx, cluster: average linkage on cosine distance within each recording, to k clusters (fewer rows: one each) or up to a
-    distance. Clusters are numbered by their first row. One recording's distance matrix is held in one task: recordings of more than `most` segments fail."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a recording of {len(rows)} segments; agglomerate takes {most}")
-        rows = rows.sort_values("idx")
-        x = np.array(rows["embedding"].tolist(), float)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(norm > 0, norm, 1)
-        labels = average_linkage(1 - np.clip(x @ x.T, -1, 1), min(k, len(x)) if k else None, None if k else threshold)
-        order = pd.factorize(labels)[0]
-        return pd.DataFrame({key: rows[key], "idx": rows["idx"], "cluster": order})
-
-    kinds = dict(df.dtypes)
-    return df.where("embedding is not null").select(key, "idx", "embedding").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, idx {kinds['idx']}, cluster long")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from parley.functions import signal as G
 from parley.functions import text as T
 from parley.functions import words as W
+from parley.operators import density as D
 from parley.operators import frames as M
+from parley.operators import linkage as L
 from parley.operators import patches as P
 from parley.operators import sequences as S
 from parley.operators import vectors as V
@@ -110,8 +112,9 @@ QUERIES: dict[str, Query] = {
     "temporal_proximity": lambda s, d: segments(s, d).select("recording", "idx", F.round(V.temporal_proximity(F.col("t0"), F.col("t1") * 1.5), 6).alias("near")),
     "joint_similarity": lambda s, d: V.joint_similarity(_spoken(s, d)).withColumn("sim", F.round("sim", 5)),
     "graph_partition": lambda s, d: V.graph_partition(V.joint_similarity(_spoken(s, d)), segments(s, d), 3),
-    "agglomerate": lambda s, d: V.agglomerate(segments(s, d), threshold=0.9),
-    "agglomerate_k": lambda s, d: V.agglomerate(segments(s, d), k=4),
+    "agglomerate": lambda s, d: L.agglomerate(segments(s, d), threshold=0.9),
+    "agglomerate_k": lambda s, d: L.agglomerate(segments(s, d), k=4),
+    "hdbscan": lambda s, d: D.hdbscan(segments(s, d), 3),
     "exclusive_region": lambda s, d: M.exclusive_region(frames(s, d)).select("recording", "chunk", "frame", "spk", "keep"),
     "usable_runs": lambda s, d: M.usable_runs(frames(s, d)).select("recording", "chunk", "spk", F.col("first").alias("first_frame"), "n"),
     "clustered_frames": lambda s, d: M.clustered(frames(s, d), _clusters(frames(s, d))).withColumn("p", F.round("p", 6)),

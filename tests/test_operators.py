@@ -6,8 +6,8 @@ import pytest
 
 from parley.functions import text as T
 from parley.operators import intervals as I
+from parley.operators import linkage as L
 from parley.operators import sequences as S
-from parley.operators import vectors as V
 from parley.streaming import turns as R
 
 SCHEMA = "recording string, idx long, t0 double, t1 double, speaker string"
@@ -106,7 +106,7 @@ def test_names(spark):
 
 def test_average_linkage(spark):
     df = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("a", 2, [1.0, 0.1]), ("a", 3, None)], "recording string, idx long, embedding array<double>")
-    assert sorted(map(tuple, V.agglomerate(df, threshold=0.5).select("idx", "cluster").collect())) == [(0, 0), (1, 1), (2, 0)]
+    assert sorted(map(tuple, L.agglomerate(df, threshold=0.5).select("idx", "cluster").collect())) == [(0, 0), (1, 1), (2, 0)]
 
 
 def test_transcript(spark):
