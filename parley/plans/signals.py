@@ -16,6 +16,7 @@ from parley.functions import text as T
 from parley.functions import words as W
 from parley.operators import density as D
 from parley.operators import frames as M
+from parley.operators import hidden as H
 from parley.operators import linkage as L
 from parley.operators import patches as P
 from parley.operators import sequences as S
@@ -114,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "graph_partition": lambda s, d: V.graph_partition(V.joint_similarity(_spoken(s, d)), segments(s, d), 3),
     "agglomerate": lambda s, d: L.agglomerate(segments(s, d), threshold=0.9),
     "agglomerate_k": lambda s, d: L.agglomerate(segments(s, d), k=4),
+    "hmm_smooth": lambda s, d: H.hmm_smooth(segments(s, d).select("recording", "idx", "speaker")),
     "hdbscan": lambda s, d: D.hdbscan(segments(s, d), 3),
     "exclusive_region": lambda s, d: M.exclusive_region(frames(s, d)).select("recording", "chunk", "frame", "spk", "keep"),
     "usable_runs": lambda s, d: M.usable_runs(frames(s, d)).select("recording", "chunk", "spk", F.col("first").alias("first_frame"), "n"),
