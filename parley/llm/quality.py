@@ -3,17 +3,22 @@
 Every whole text is compressed with zstandard, once as a whole and once in fixed chunks: of 4,096 bytes from 8,192
 bytes on, of 1,024 under that. The last chunk is the text's last full chunk, so no end goes unjudged. A ratio of
 compressed to plain bytes under the floor marks repetitive text, one over the ceiling marks text that doesn't compress
-(keys, encoded data, noise). The limits depend on the length and come from the table itself: a first pass counts the
-ratios of all texts that pass the word rules, by quarter octave of the length and by chunk size; floor and ceiling lie
-a number of spreads (median distance from the median, scaled to a standard deviation) from the median. Where a length
-has too few texts even with its neighbours, the fixed wide limits of `Bands` hold.
+(keys, encoded data, noise). The limits depend on the length and come from the table itself, by one rule for all lengths:
+texts that pass the word rules count for each quarter octave of the length, the less the farther theirs is from it
+(`Bands.fade` a step), and so give a weighted median and a spread (median distance from it, scaled to a standard deviation);
+floor and ceiling lie a number of spreads from the median. They are averaged with the wide limits that `Bands` has for the
+length: these weigh `Bands.prior` squared, the table's own the squared weight of its texts. So a length of many texts has limits of its own, a rare length leans on its
+neighbours and on the wide limits, and one text alone is judged by the wide limits, moved by one part in `prior` squared + 1. Chunks
+have limits of the same kind for each chunk size.
+
+Each text is read and compressed once: its measures are written to the shared folder, about 100 bytes and 8 for each
+chunk, and the limits and verdicts are DataFrame operations on them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +27,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from parley.operators.components import stored
 
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 
 
 @dataclass(frozen=True)
 class Bands:
-    """`whole` holds (bytes under which it holds, floor, ceiling) by length, `chunk` (floor, ceiling): both for lengths with too few texts."""
+    """`whole` holds (bytes under which it holds, floor, ceiling) by length, `chunk` (floor, ceiling): the wide limits."""
 
     whole: tuple[tuple[float, float, float], ...] = ((128, 0.40, 1.50), (256, 0.35, 1.05), (1024, 0.30, 0.90), (4096, 0.27, 0.80), (16384, 0.25, 0.75), (float("inf"), 0.22, 0.75))
     chunk: tuple[float, float] = (0.25, 0.75)
@@ -40,10 +48,11 @@ class Bands:
     #: Spreads from the median to floor (the usual cut of the modified z-score) and ceiling (further, as short clean texts lean upwards).
     below: float = 3.5
     above: float = 6.0
-    #: Least spread as a share of the median, for tables of copies; texts or chunks that limits need; quarter octaves to either side that may help.
+    #: Least spread as a share of the median, for tables of copies.
     least_spread: float = 0.01
-    min_texts: int = 50
-    reach: int = 2
+    #: Texts (or chunks) at which the table's limits weigh as much as the wide ones; what a text of the next quarter octave weighs.
+    prior: float = 3.0
+    fade: float = 0.05
     level: int = 3
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -97,108 +106,91 @@ def ratios(data: bytes, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple
 #: (chunk size, or 0 for whole texts; quarter octave, or 0 for chunks) -> floor, ceiling
 Limits = dict[tuple[int, int], tuple[float, float]]
 _BIN = 5e-4
+_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, step long, ratio double, chunk long, parts array<double>"
 
 
-def limits(docs: DataFrame, bands: Bands = Bands()) -> Limits:
-    """Limits from the ratios of all texts of `docs` that pass the word rules. What reaches the driver is counts by
-    length and ratio, whose number the ratios' width bounds and not the rows'."""
+def measured(docs: DataFrame, bands: Bands = Bands(), name: str = "measures") -> DataFrame:
+    """docs with a struct of measures. step: quarter octave of the length in bytes (0 of empty text); chunk: chunk size; parts: the chunks' ratios."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = zstandard.ZstdCompressor(level=bands.level), Counter()
+        packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
+            rows = []
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
                 words = data.split()
-                if len(words) < bands.min_words or word_rules_fail(words, repeated_words(words), bands):
-                    continue
+                n, repeats = len(words), repeated_words(words)
+                chars = sum(map(len, words)) if data.isascii() else len(b"".join(words).decode())
                 ratio, size, parts = ratios(data, packer, bands)
-                seen[0, _step(len(data)), int(ratio / _BIN)] += 1
-                seen.update((size, 0, int(x / _BIN)) for x in parts)
-        cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["size", "step", "bin", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "size long, step long, bin long, n long").groupBy("size", "step", "bin").agg(F.sum("n").alias("n")).collect()
-    held: dict[tuple[int, int], Counter] = {}
-    for r in counted:
-        held.setdefault((r["size"], r["step"]), Counter())[r["bin"]] += r["n"]
+                rows.append((n, chars, len(_SYMBOL.findall(data)), repeated_lines(data), repeats, word_rules_fail(words, repeats, bands), _step(len(data)) if data else 0, ratio, size, parts))
+            cols = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+            values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _MEASURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType.fromDDL(_MEASURES))]))
+
+
+def limits(rows: DataFrame, bands: Bands = Bands()) -> Limits:
+    """Limits from the measures of all texts of `rows` that pass the word rules, for each chunk size and each quarter octave of theirs. What reaches the driver is counts by
+    length and ratio, whose number the ratios' width bounds and not the rows'."""
+    good = rows.where("not measures.base_failed")
+    whole = good.select(F.lit(0).cast("long").alias("size"), "measures.step", F.col("measures.ratio").alias("x"))
+    parts = good.select(F.col("measures.chunk").alias("size"), F.lit(0).cast("long").alias("step"), F.explode("measures.parts").alias("x"))
+    counted = whole.unionByName(parts).groupBy("size", "step", F.floor(F.col("x") / _BIN).alias("bin")).agg(F.count("*").alias("n")).toArrow()
+    size, step, at, n = (counted.column(c).to_numpy() for c in ("size", "step", "bin", "n"))
     out: Limits = {}
-    for size, step in held:
-        for reach in range(bands.reach + 1 if size == 0 else 1):
-            near = sum((held.get((size, s), Counter()) for s in range(step - reach, step + reach + 1)), Counter())
-            if near.total() >= bands.min_texts:
-                at, n = np.array(sorted(near.items())).T
-                middle = _median((at + 0.5) * _BIN, n)
-                away = np.abs((at + 0.5) * _BIN - middle)
-                order = np.argsort(away)
-                spread = max(1.4826 * _median(away[order], n[order]), bands.least_spread * middle)
-                out[size, step] = middle - bands.below * spread, middle + bands.above * spread
-                break
+    for key in {*zip(size.tolist(), step.tolist(), strict=True)}:
+        own = size == key[0]
+        weight = n[own] * bands.fade ** np.abs(step[own] - key[1])
+        value = (at[own] + 0.5) * _BIN
+        middle = weighted_median(value, weight)
+        spread = max(1.4826 * weighted_median(np.abs(value - middle), weight), bands.least_spread * middle)
+        wide = bands.chunk if key[0] else next((lo, hi) for under, lo, hi in bands.whole if 2 ** ((key[1] + 0.5) / 4) < under)
+        share = weight.sum() ** 2 / (weight.sum() ** 2 + bands.prior**2)
+        out[key] = tuple(float(share * x + (1 - share) * y) for x, y in zip((middle - bands.below * spread, middle + bands.above * spread), wide, strict=True))
     return out
 
 
-def _median(values: np.ndarray, counts: np.ndarray) -> float:
-    """Lower median of ascending values."""
-    total = np.cumsum(counts)
-    return float(values[np.searchsorted(total, (total[-1] + 1) // 2)])
+def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
+    """The least value up to which half of the weight lies, or half less rounding."""
+    order = np.argsort(values, kind="stable")
+    total = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(total, total[-1] / 2 * (1 - 1e-9))])
 
 
-def in_bands(data: bytes, packer: zstandard.ZstdCompressor, bands: Bands, known: Limits) -> tuple[float, float, bool]:
-    """Whole ratio, share of chunks out of their band, and the verdict. Empty text has ratio 0 and is out."""
-    ratio, size, parts = ratios(data, packer, bands)
-    if not data:
-        return 0.0, 0.0, False
-    floor, ceiling = known.get((0, _step(len(data)))) or next((lo, hi) for under, lo, hi in bands.whole if len(data) < under)
-    low, high = known.get((size, 0), bands.chunk)
-    out = sum(not low <= x <= high for x in parts) / len(parts) if parts else 0.0
-    return ratio, out, floor <= ratio <= ceiling and out <= bands.chunk_share
+def judged(rows: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """rows, whose measures are stored, with out (the share of chunks beyond their limits, 0 without chunks) and kept. A job for the limits runs at once; their table has a row for each quarter octave, 4 for each doubling of the longest text."""
+    known = limits(rows, bands)
+    table = F.broadcast(rows.sparkSession.createDataFrame([(s, *v) for (size, s), v in known.items() if not size] or [(0, 0.0, 0.0)], "_step long, _floor double, _ceiling double"))
+    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for (size, _), (floor, ceiling) in known.items():
+        if size:
+            low, high = F.when(F.col("measures.chunk") == size, floor).otherwise(low), F.when(F.col("measures.chunk") == size, ceiling).otherwise(high)
+    beyond = F.size(F.filter("measures.parts", lambda x: (x < F.col("_low")) | (x > F.col("_high")))) / F.size("measures.parts")
+    limited = rows.join(table, F.col("measures.step") == F.col("_step"), "left").withColumn("_low", low).withColumn("_high", high)
+    out = F.when(F.size("measures.parts") > 0, beyond).otherwise(0.0)
+    inside = F.col("measures.ratio").between(F.col("_floor"), F.col("_ceiling")) & (F.col("out") <= bands.chunk_share)
+    return limited.withColumn("out", out).withColumn("kept", ~F.col("measures.base_failed") & F.coalesce(inside, F.lit(False))).drop("_step", "_floor", "_ceiling", "_low", "_high")
 
 
 def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row per row of `docs` (doc_id, text), null text counting as empty: n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, ratio, chunks_out. Other columns are ignored, so clashing names
     can't matter; repeated rows give repeated rows; an empty table gives none; texts of any length are read whole.
-    A job for the limits runs at once.
+    Jobs for the measures and the limits run at once.
     """
-    known = limits(docs, bands)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                data = (text.as_py() or "").encode()
-                words = data.split()
-                n, repeats = len(words), repeated_words(words)
-                chars = sum(map(len, words)) if data.isascii() else len(b"".join(words).decode())
-                failed = word_rules_fail(words, repeats, bands)
-                ratio, out, good = in_bands(data, packer, bands, known)
-                rows.append((n, chars, len(_SYMBOL.findall(data)), repeated_lines(data), repeats, failed, not failed and good, ratio, out))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
-
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunks_out"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunks_out double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    rows = judged(stored(measured(docs.select("doc_id", "text"), bands).drop("text")), bands)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return rows.select("doc_id", *(F.col(f"measures.{c}").alias(c) for c in counts), "kept", F.col("measures.ratio").alias("ratio"), F.col("out").alias("chunks_out"))
 
 
 def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """The rows of `docs` whose text passes, with their columns. The verdict travels beside the rows through one
-    pass of Arrow batches, so no row is shuffled or joined and repeated or null ids need no care."""
-    known = limits(docs, bands)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
-            good = []
-            for text in batch.column("text"):
-                data = (text.as_py() or "").encode()
-                words = data.split()
-                good.append(len(words) >= bands.min_words and in_bands(data, packer, bands, known)[2] and not word_rules_fail(words, repeated_words(words), bands))
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of `docs` whose text passes, with their columns. The measures are written beside the rows, so no row is shuffled or joined by its id, and repeated or null ids need no care."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumnRenamed(f"c{names.index('text')}", "text")  # no name can clash
+    kept = judged(stored(measured(plain, bands)), bands).where("kept")
+    return kept.select(*(F.col("text" if n == "text" else f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 import math
 import random
-import statistics
 
 import duckdb
 import pytest
@@ -58,20 +57,30 @@ def verdicts(texts, bands):
     whole = [(step(d), bin_of(len(packer.compress(d)) / len(d))) for d in good]
     chunks = [(size, bin_of(r)) for d in good for size, rs in [parts(d)] for r in rs]
 
-    def limits(values):
-        middle = statistics.median_low(values)
-        spread = max(1.4826 * statistics.median_low([abs(v - middle) for v in values]), 0.01 * middle)
-        return middle - 3.5 * spread, middle + 6 * spread
+    def limits(values, wide):
+        """values: (ratio, weight)"""
+
+        def median(pairs):
+            pairs, below = sorted(pairs), 0.0
+            for x, w in pairs:
+                below += w
+                if below >= sum(w for _, w in pairs) / 2 * (1 - 1e-9):
+                    return x
+
+        middle = median(values)
+        spread = max(1.4826 * median([(abs(v - middle), w) for v, w in values]), 0.01 * middle)
+        share = sum(w for _, w in values) ** 2 / (sum(w for _, w in values) ** 2 + bands.prior**2)
+        return share * (middle - 3.5 * spread) + (1 - share) * wide[0], share * (middle + 6 * spread) + (1 - share) * wide[1]
 
     def kept(t):
         data = t.encode()
         if not passes(t):
             return False
-        near = next((v for reach in range(3) if len(v := [r for s, r in whole if abs(s - step(data)) <= reach]) >= 50), None)
-        low, high = limits(near) if near else next((lo, hi) for under, lo, hi in bands.whole if len(data) < under)
+        wide = next((lo, hi) for under, lo, hi in bands.whole if 2 ** ((step(data) + 0.5) / 4) < under)
+        low, high = limits([(r, bands.fade ** abs(s - step(data))) for s, r in whole], wide)
         size, own = parts(data)
         of_size = [r for s, r in chunks if s == size]
-        c_low, c_high = limits(of_size) if len(of_size) >= 50 else bands.chunk
+        c_low, c_high = limits([(r, 1) for r in of_size], bands.chunk) if of_size else bands.chunk
         out = sum(not c_low <= r <= c_high for r in own) / len(own) if own else 0
         return low <= len(packer.compress(data)) / len(data) <= high and out <= 0.3
 
@@ -99,3 +108,25 @@ def test_no_byte_of_the_end_goes_unjudged(spark):
     rows = [*clean, *((1000 + k, prose[:8192] + " " + noise[: 4095 + k]) for k in (0, 1, 2))]
     found = {r["doc_id"]: r["kept"] for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [found[1000 + k] for k in (0, 1, 2)] == [False] * 3 and sum(found[i] for i, _ in clean) >= 57
+
+
+def test_one_more_text_moves_limits_little(spark):
+    """No number of texts is a threshold: one more of 45 to 55 moves no limit by a twentieth of the band, and one text alone keeps the wide limits but for a part in prior squared + 1."""
+    bands = quality.Bands()
+    schema = f"n int, measures struct<{quality._MEASURES.replace(' ', ':').replace(',:', ',')}>"
+    rows = [(n, (60, 300, 0, 0, 0, False, 40, 0.36 + 0.001 * (37 * n % 80), 1024, [])) for n in range(80)]
+    table = spark.createDataFrame(rows, schema)
+    found = [quality.limits(table.where(f"n < {n}"), bands)[0, 40] for n in (1, *range(45, 56))]
+    wide = next((lo, hi) for under, lo, hi in bands.whole if 2 ** (40.5 / 4) < under)
+    share, own = 1 / (1 + bands.prior**2), (int(rows[0][1][7] / 5e-4) + 0.5) * 5e-4
+    assert all(abs(f - ((1 - share) * w + share * own * (1 + s * 0.01))) < 1e-9 for f, w, s in zip(found[0], wide, (-bands.below, bands.above), strict=True))
+    steps = [abs(a - b) for one, two in zip(found[1:], found[2:], strict=False) for a, b in zip(one, two, strict=True)]
+    assert max(steps) < 0.05 * (found[1][1] - found[1][0])
+
+
+def test_halves_differ_by_their_limits_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    half = quality.stored(quality.measured(docs.where("doc_id % 2 = 0")))
+    whole = quality.stored(quality.measured(docs))
+    ours = {r["doc_id"]: r["measures"] for r in half.collect()}
+    assert all(r["measures"] == ours[r["doc_id"]] for r in whole.where("doc_id % 2 = 0").collect()) and len(ours) == 100
