@@ -8,11 +8,14 @@ rows meet in one task, recordings are spread over all.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions.text import stripped
+from parley.operators.slices import SLICE, carried, sliced
 
 EPS = 1e-6
 #: Seconds a bin of range joins: a few turns long, so that a row falls into few bins and a bin holds few rows.
@@ -185,22 +188,65 @@ def clip(df: DataFrame, vad: DataFrame, min_len: float = 0.12, key: str = KEY, s
     return at_least(clipped, min_len).unionByName(free)
 
 
-def flatten(df: DataFrame, min_len: float = 0.12, key: str = KEY) -> DataFrame:
-    """recording, t0, t1, speaker without overlap: in the order of (t0, t1, speaker) a turn begins where the last kept one ended and is kept if
-    it then has min_len. A fold, as only kept turns move that end on; a turn that begins where all earlier ones have ended is not touched by them, so the fold runs over islands of overlapping turns."""
-    kept = "array<struct<t0:double,t1:double,speaker:string>>"
-    order = Window.partitionBy(key).orderBy("t0", "t1", "speaker")
-    reach = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(reach.isNull() | (F.col("t0") >= reach), 1).otherwise(0)
-    islands = _known(df).select(key, "t0", "t1", "speaker").withColumn("opened", opened).withColumn("island", F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = islands.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct("t0", "t1", "speaker"))).alias("turns"))
-
-    def step(done: Column, x: Column) -> Column:
-        start = F.greatest(x["t0"], F.coalesce(F.get(done, F.size(done) - 1)["t1"], x["t0"]))
-        turn = F.struct(start.alias("t0"), x["t1"].alias("t1"), x["speaker"].alias("speaker"))
-        return F.when(x["t1"] - start >= min_len, F.concat(done, F.array(turn))).otherwise(done)
-
-    return lists.select(key, F.explode(F.aggregate("turns", F.array().cast(kept), step)).alias("turn")).select(key, "turn.t0", "turn.t1", "turn.speaker")
+def _next_kept(ends: np.ndarray, min_len: float) -> list[int]:
+    """For each turn the first one behind it that ends min_len or more after it, or -1. From the last to the first, with the turns that nothing behind them overtakes at hand, the nearest last: their ends ascend with their distance."""
+    out, ahead = [-1] * len(ends), []
+    for j in range(len(ends) - 1, -1, -1):
+        low, high = 0, len(ahead)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if ends[ahead[middle]] - ends[j] >= min_len else (low, middle)
+        out[j] = ahead[low - 1] if low else -1
+        while ahead and ends[ahead[-1]] <= ends[j]:
+            ahead.pop()
+        ahead.append(j)
+    return out
+
+
+def _exits(ends: np.ndarray, min_len: float) -> tuple[list[float], list[float]]:
+    """Where the last kept turn of a slice ends, by where the last one before it ended: for turns that end later than all before them, the ends, and the exits when such a turn is the first one kept. Of neighbours with one exit the last stands for all."""
+    follow, exits = _next_kept(ends, min_len), np.array(ends, float)
+    for j in range(len(ends) - 1, -1, -1):
+        if follow[j] >= 0:
+            exits[j] = exits[follow[j]]
+    record = np.flatnonzero(ends > np.concatenate([[-np.inf], np.maximum.accumulate(ends)[:-1]]))
+    last = [i for i, j in enumerate(record) if i + 1 == len(record) or exits[record[i + 1]] != exits[j]]
+    return ends[record[last]].tolist(), exits[record[last]].tolist()
+
+
+def flatten(df: DataFrame, min_len: float = 0.12, key: str = KEY, rows: int = SLICE) -> DataFrame:
+    """recording, t0, t1, speaker without overlap: in the order of (t0, t1, speaker) a turn begins where the last kept one ended and is kept if it then has min_len.
+
+    Which turn is kept next depends on the last kept end alone, so a slice of turns is a step function from the end before it to the end behind it, and chains from different ends soon meet, so that function has few steps. Slices are folded in
+    parallel once their ends are known; recordings may be of any length. The result doesn't depend on `rows`, those of a slice. Turns under min_len can't be kept and go first. The sorted turns are written to the shared folder at once."""
+    turns = _known(df).where(F.col("t1") - F.col("t0") >= min_len).select(key, "t0", "t1", "speaker")
+    cut = sliced(turns, ["t0", "t1", "speaker"], key, rows)
+    kinds = dict(cut.dtypes)
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        reach, exits = _exits(part.sort_values("place")["t1"].to_numpy(), min_len)
+        return pd.DataFrame({key: part[key].iloc[:1], "slice": part["slice"].iloc[:1], "reach": [reach], "exits": [exits]})
+
+    def behind(end, row):
+        entry = 0 if end is None else next((i for i, x in enumerate(row.reach) if x - end >= min_len), -1)
+        return end if entry < 0 else float(row.exits[entry])
+
+    def folded(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        end, keep, starts = part["state"].iloc[0], [], []
+        end = -np.inf if pd.isna(end) else end
+        for i, (t0, t1) in enumerate(zip(part["t0"], part["t1"], strict=True)):
+            start = max(t0, end)
+            if t1 - start >= min_len:
+                keep.append(i)
+                starts.append(start)
+                end = t1
+        kept = part.iloc[keep]
+        return pd.DataFrame({key: kept[key], "t0": starts, "t1": kept["t1"], "speaker": kept["speaker"]})
+
+    sums = cut.groupBy("slice").applyInPandas(summed, f"{key} {kinds[key]}, slice long, reach array<double>, exits array<double>")
+    ends = carried(sums, behind, "double", key)
+    return cut.join(ends, "slice").groupBy("slice").applyInPandas(folded, f"{key} {kinds[key]}, t0 double, t1 double, speaker {kinds['speaker']}")
 
 
 def speech_chunks(df: DataFrame, cuts: str = "cuts", max_len: float = 20.0, margin: float = 1.5) -> DataFrame:

@@ -68,12 +68,29 @@ def switched(rows, min_run):
     return sorted(out)
 
 
+def test_slices_of_turns_as_step_functions():
+    """Whatever end comes in, the end that goes out is that of the fold."""
+    rnd = random.Random(8)
+    for _ in range(300):
+        turns = sorted((a, a + rnd.randrange(4, 40) / 4) for a in (rnd.randrange(60) / 4 for _ in range(rnd.randrange(1, 25))))
+        for min_len in (0.0, 1.0):
+            reach, exits = I._exits(I.np.array([t1 for _, t1 in turns]), min_len)
+            for end in [x / 4 for x in range(-4, 110)]:
+                at = end
+                for t0, t1 in turns:
+                    at = t1 if t1 - max(t0, at) >= min_len else at
+                entry = next((i for i, x in enumerate(reach) if x - end >= min_len), None)
+                assert at == (end if entry is None else exits[entry])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_models(spark, seed):
     rows = rows_of(seed)
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, I.merge_intervals(df, 1.0, 1.5).select("recording", "t0", "t1").collect())) == merged(rows, 1.0, 1.5)
     assert sorted(map(tuple, I.flatten(df, 1.0).collect())) == flat(rows, 1.0)
+    for min_len, size in ((1.0, 3), (0.0, 5), (2.5, 1)):
+        assert sorted(map(tuple, I.flatten(df, min_len, rows=size).collect())) == flat(rows, min_len)
     clean = df.where("t0 is not null")
     assert sorted(map(tuple, S.remove_micro_switches(clean, 2.0).select("recording", "idx", "speaker").collect())) == switched(rows, 2.0)
 
