@@ -67,26 +67,31 @@ def reconstructed(frames: DataFrame, clusters: DataFrame, counts: DataFrame, ste
     return ranked.join(counts.select(key, "at", "count"), [key, "at"]).where("place <= count and p > 0").select(key, "at", "cluster")
 
 
+def gains(states: int, overlap: bool) -> np.ndarray:
+    """What a move from state a to state b adds to a path's score; the last state is silence. Staying silent is free. Every other move gains the switch bias, less the stay bias if the state changes and less the silence bias if one of both is silence."""
+    a, b = np.ogrid[:states, :states]
+    silent = (a == states - 1).astype(int) + (b == states - 1)
+    return np.where(silent == 2, 0.0, SWITCH - (STAY_OVERLAP if overlap else STAY) * (a != b) - SILENCE * silent)
+
+
+def best_paths(posterior: np.ndarray, overlap: bool = False) -> np.ndarray:
+    """The states (chunk, frame) on the paths of largest log score, of chunks of equal length: posterior (chunk, frame, cluster), states are the K clusters and silence (K). All chunks move from frame to frame together; on the way back the state
+    before is the one from which the score of the next was reached, the lower of equal ones."""
+    silence = 1 - posterior.max(axis=2, initial=0.0)
+    shown = np.log(np.clip(np.concatenate([posterior, silence[:, :, None]], axis=2), FLOOR, 1))
+    gain = gains(shown.shape[2], overlap)
+    reached = [shown[:, 0]]
+    for frame in range(1, shown.shape[1]):
+        reached.append((reached[-1][:, :, None] + gain).max(axis=1) + shown[:, frame])
+    path = [reached[-1].argmax(axis=1)]
+    for score in reached[-2::-1]:
+        path.append((score + gain.T[path[-1]]).argmax(axis=1))
+    return np.stack(path[::-1], axis=1)
+
+
 def best_path(posterior: np.ndarray, overlap: bool = False) -> np.ndarray:
-    """The state of each frame, of K clusters and silence (K), on the path of largest log score. A change costs the stay bias, all moves gain the switch bias, those from or to silence lose the silence bias; staying silent is free."""
-    frames, k = posterior.shape
-    silence = np.clip(1 - posterior.max(axis=1), 0, 1) if k else np.ones(frames)
-    emit = np.log(np.clip(np.column_stack([posterior, silence]), FLOOR, 1))
-    move = np.full((k + 1, k + 1), SWITCH - (STAY_OVERLAP if overlap else STAY))
-    np.fill_diagonal(move, SWITCH)
-    move[:, k] -= SILENCE
-    move[k, :] -= SILENCE
-    move[k, k] = 0.0
-    best, back = emit[0], np.zeros((frames, k + 1), int)
-    for t in range(1, frames):
-        scores = best[:, None] + move
-        back[t] = scores.argmax(axis=0)
-        best = scores.max(axis=0) + emit[t]
-    path = np.empty(frames, int)
-    path[-1] = best.argmax()
-    for t in range(frames - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    """`best_paths` of one chunk (frame, cluster)."""
+    return best_paths(posterior[None], overlap)[0]
 
 
 def resegmented(frames: DataFrame, clusters: DataFrame, chunks: DataFrame, key: str = KEY) -> DataFrame:

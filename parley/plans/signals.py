@@ -22,6 +22,7 @@ from parley.operators import patches as P
 from parley.operators import sequences as S
 from parley.operators import vectors as V
 from parley.sources import sinks
+from parley.streaming import stateful as E
 from parley.streaming import turns as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,8 +106,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "cosine_distances": lambda s, d: V.cosine_distances(segments(s, d)).withColumn("distance", F.round("distance", 5)),
-    "imputed_vectors": lambda s, d: V.impute(segments(s, d).withColumn("embedding", F.when(F.col("idx") % 7 != 0, F.col("embedding")))).select("recording", "idx", F.round(F.col("embedding")[0], 6).alias("x0"), F.round(F.col("embedding")[63], 6).alias("x63")),
-    "centred_scale": lambda s, d: V.centred_scale(segments(s, d), centred=True).select("recording", "idx", F.round(F.col("embedding")[0], 6).alias("x0")),
+    "imputed_vectors": lambda s, d: _components(V.impute(segments(s, d).withColumn("embedding", F.when(F.col("idx") % 7 != 0, F.col("embedding"))))),
+    "centred_scale": lambda s, d: _components(V.centred_scale(segments(s, d), centred=True)),
     "nearest_centroid": lambda s, d: V.nearest_centroid(segments(s, d), V.centroids(segments(s, d))).select("recording", "idx", "nearest"),
     "merge_speakers": lambda s, d: V.merge_speakers(segments(s, d), 0.2).select("recording", "idx", "speaker"),
     "merge_clusters": lambda s, d: V.merge_clusters(segments(s, d), 0.2).select("recording", "idx", "cluster"),
@@ -127,6 +128,9 @@ QUERIES: dict[str, Query] = {
     "frame_rms": lambda s, d: segments(s, d).select("recording", "idx", F.posexplode(G.frame_rms(F.col("embedding"), 8, 4)).alias("frame", "rms")).withColumn("rms", F.round("rms", 8)),
     "voiced_frames": lambda s, d: segments(s, d).select("recording", "idx", F.posexplode(G.voiced(F.col("embedding"), 4)).alias("frame", "voiced")),
     "cropped": lambda s, d: segments(s, d).select("recording", "idx", G.crop(F.col("embedding"), F.col("idx") / 10.0, F.col("idx") / 5.0, 10).alias("c")).select("recording", "idx", F.size("c").alias("n"), F.round(F.coalesce(F.get("c", F.lit(0)), F.lit(0.0)), 6).alias("x"), G.long_enough(F.col("c"), 0.5, 10).alias("long"), G.loud_enough(F.col("c"), 0.12).alias("loud")),
+    "enough_samples": lambda s, d: segments(s, d).withColumn("c", G.crop(F.col("embedding"), F.col("idx") / 10.0, F.col("idx") / 5.0, 10)).where(G.long_enough(F.col("c"), 0.7, 10)).select("recording", "idx"),
+    "loud_segments": lambda s, d: segments(s, d).where(G.loud_enough(F.slice("embedding", 1, 16), 0.12)).select("recording", "idx"),
+    "end_of_turns": lambda s, d: E.end_of_turns_batch(_heard(s, d), E.Endpoint(frame=100)),
     "pitch": lambda s, d: segments(s, d).select("recording", "idx", F.round(G.pitch(F.col("embedding"), 800), 4).alias("hz")),
     "embedding_input": lambda s, d: segments(s, d).select("recording", "idx", G.best_stretch(F.col("embedding"), 400, 0.04, 0.01).alias("stretch"), F.size(G.embedding_input(F.col("embedding"), 400, 0.04, 0.01)).alias("n")).select("recording", "idx", "stretch.start", "stretch.end", "n"),
     "word_times": lambda s, d: _flat_words(utterances(s, d).withColumn("words", W.absolute(F.col("words"), F.col("t0"), F.col("speaker")))),
@@ -140,12 +144,27 @@ QUERIES: dict[str, Query] = {
     "merge_groups": lambda s, d: P.merge_groups(_resolved(s, d)),
     "corrected_rows": _corrected,
     "json_documents": lambda s, d: sinks.json_documents(_corrected(s, d), pretty=False),
+    "titled_documents": lambda s, d: sinks.titled(sinks.json_documents(_corrected(s, d), columns=("speaker", "text"), pretty=False), "TURNS"),
+    "word_seconds": lambda s, d: _flat_words(utterances(s, d)).where("start is not null").select("recording", "idx", "place", W.to_seconds(W.to_ms(F.col("start") + 0.0004)).alias("start")),
+    "similarity_thresholds": lambda s, d: V.neighbours_similarity(segments(s, d)).where("sim is not null").select("recording", "idx", ((1 - F.col("sim")) < V.distance_threshold(0.1)).alias("near")),
     "final_turns": lambda s, d: R.final(_events(s, d)).select("recording", "seq"),
     "turn_confidence": lambda s, d: R.confidence(_events(s, d)).select("recording", "seq", F.round("confidence", 8).alias("confidence"), F.get("words", F.lit(0))["speaker"].alias("speaker")),
     "name_numbers": lambda s, d: segments(s, d).select("recording", "idx", S.number_of_name(F.when(F.col("idx") % 3 != 0, S.numbered_name(F.col("cluster"))).otherwise("other")).alias("number")),
 }
 
 
+def _components(rows: DataFrame) -> DataFrame:
+    return rows.select("recording", "idx", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
+def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector is a recording of 64 frames of 100 ms: components are voices, and the next ones confidences."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    each = rows.select(F.col("vec_id").cast("string").alias("recording"), "embedding", F.posexplode("embedding").alias("pos", "x"))
+    after = F.get("embedding", (F.col("pos") + 1) % F.size("embedding"))
+    return each.select("recording", (F.col("pos") * 100).cast("long").alias("t"), (F.abs(F.col("x").cast("double")) * 4).alias("voice"), (F.abs(after.cast("double")) * 2).alias("confidence"))
+
+
 def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).withColumn("text", F.concat_ws(" ", F.lit("said by"), "speaker", (F.col("idx") % 6).cast("string")))
 
@@ -162,10 +181,12 @@ _PATCHED = """m AS (SELECT recording, count(*) AS n FROM rows_ GROUP BY recordin
 
 ORACLE_SQL: dict[str, str] = {
     "cosine_distances": f"WITH {_SEGMENTS}, {_UNIT} SELECT a.recording, a.idx AS i, b.idx AS j, round(1 - greatest(-1, least(1, list_inner_product(a.v, b.v))), 5) AS distance FROM unit a JOIN unit b ON a.recording = b.recording AND a.idx < b.idx",
-    "imputed_vectors": f"""WITH {_SEGMENTS}, m AS (SELECT recording, avg(embedding[1]) AS a, avg(embedding[64]) AS b FROM segments WHERE idx % 7 <> 0 GROUP BY recording)
-SELECT s.recording, idx, round(CASE WHEN idx % 7 <> 0 THEN embedding[1] ELSE coalesce(a, 0) END, 6) AS x0, round(CASE WHEN idx % 7 <> 0 THEN embedding[64] ELSE coalesce(b, 0) END, 6) AS x63 FROM segments s LEFT JOIN m ON s.recording = m.recording""",
-    "centred_scale": f"""WITH {_SEGMENTS}, e AS (SELECT recording, idx, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM segments), m AS (SELECT *, x - avg(x) OVER (PARTITION BY recording, i) AS y FROM e),
-n AS (SELECT recording, idx, sqrt(sum(y * y)) AS n, max(x) FILTER (i = 1) AS x FROM m GROUP BY recording, idx) SELECT recording, idx, round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x0 FROM n""",
+    "imputed_vectors": f"""WITH {_SEGMENTS}, e AS (SELECT recording, idx, unnest(range(0, 64)) AS place, unnest(embedding) AS x FROM segments),
+m AS (SELECT recording, place, avg(x) FILTER (idx % 7 <> 0) AS mean FROM e GROUP BY recording, place)
+SELECT recording, idx, place::INTEGER AS place, round(CASE WHEN idx % 7 <> 0 THEN x ELSE coalesce(mean, 0) END, 6) AS x FROM e JOIN m USING (recording, place)""",
+    "centred_scale": f"""WITH {_SEGMENTS}, e AS (SELECT recording, idx, unnest(range(0, 64)) AS place, unnest(embedding) AS x FROM segments), m AS (SELECT *, x - avg(x) OVER (PARTITION BY recording, place) AS y FROM e),
+n AS (SELECT recording, idx, sqrt(sum(y * y)) AS n FROM m GROUP BY recording, idx)
+SELECT recording, idx, place::INTEGER AS place, round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM e JOIN n USING (recording, idx)""",
     "nearest_centroid": f"""WITH {_SEGMENTS}, {_UNIT}, {_CENTRES} SELECT recording, idx, cluster AS nearest FROM (SELECT u.recording, u.idx, c.cluster, row_number() OVER (PARTITION BY u.recording, u.idx ORDER BY list_cosine_similarity(u.v, c.v) DESC, c.cluster) AS k FROM unit u JOIN c ON u.recording = c.recording) WHERE k = 1""",
     "merge_speakers": f"""WITH RECURSIVE {_SEGMENTS}, {_UNIT}, {_CENTRES}, near AS (SELECT a.recording, a.speaker AS a, b.speaker AS b FROM c a JOIN c b ON a.recording = b.recording AND a.speaker <> b.speaker AND list_cosine_similarity(a.v, b.v) >= 0.2),
 reach AS (SELECT recording, speaker AS a, speaker AS b FROM c UNION SELECT r.recording, r.a, n.b FROM reach r JOIN near n ON r.recording = n.recording AND r.b = n.a),
@@ -183,6 +204,14 @@ SELECT r.recording, r."at", cluster FROM r JOIN counts c ON r.recording = c.reco
     "masked_signal": f"""WITH {_SEGMENTS}, w AS (SELECT recording, idx, embedding, list_transform(embedding[1:16], lambda x: abs(x)) AS mask FROM segments),
 m AS (SELECT recording, idx, len(list_filter(embedding, lambda x: x > 0.25)) >= 3 AS maskable, embedding[4] * least(1, greatest(0, mask[1] * 0.75 + mask[2] * 0.25)) AS m3, embedding[64] * least(1, mask[16]) AS m63 FROM (SELECT recording, idx, embedding, mask FROM w))
 SELECT recording, idx, maskable, round(embedding[4] * least(1, mask[1] * (1 - (3 * 16 / 64.0 - 0.5)) + mask[2] * (3 * 16 / 64.0 - 0.5)), 8) AS m3, round(m63, 8) AS m63 FROM w JOIN m USING (recording, idx)""",
+    "enough_samples": f"WITH {_SEGMENTS} SELECT recording, idx FROM segments WHERE len(embedding[least(64, trunc(idx / 10.0::DOUBLE * 10)::INTEGER) + 1:least(64, trunc(idx / 5.0::DOUBLE * 10)::INTEGER)]) >= 7",
+    "loud_segments": f"WITH {_SEGMENTS} SELECT recording, idx FROM segments WHERE sqrt(list_sum(list_transform(embedding[1:16], lambda x: x * x)) / 16 + 1e-12) >= 0.12",
+    "end_of_turns": """WITH RECURSIVE f AS (SELECT vec_id::VARCHAR AS recording, i, (i - 1) * 100 AS t, abs(embedding[i]::DOUBLE) * 4 AS voice, abs(embedding[i % 64 + 1]::DOUBLE) * 2 AS confidence FROM embeddings, range(1, 65) r(i) WHERE embedding IS NOT NULL),
+s AS (SELECT recording, 0::BIGINT AS i, -1::BIGINT AS open_, -1::BIGINT AS heard, 0::BIGINT AS number, NULL::BIGINT AS start, NULL::BIGINT AS "end", NULL::VARCHAR AS reason FROM (SELECT DISTINCT recording FROM f)
+UNION ALL SELECT recording, i, CASE WHEN voice >= 0.4 THEN CASE WHEN open_ >= 0 THEN open_ ELSE t END WHEN closes THEN -1 ELSE open_ END, CASE WHEN voice >= 0.4 THEN t + 100 ELSE heard END, number + closes::BIGINT,
+CASE WHEN closes THEN open_ END, CASE WHEN closes THEN heard END, CASE WHEN closes THEN CASE WHEN t + 100 - heard >= 1280 THEN 'silence' ELSE 'confidence' END END
+FROM (SELECT f.*, open_, heard, number, open_ >= 0 AND voice < 0.4 AND (t + 100 - heard >= 1280 OR t + 100 - heard >= 250 AND confidence >= 0.25) AS closes FROM s JOIN f ON f.recording = s.recording AND f.i = s.i + 1))
+SELECT recording, number - 1 AS number, start, "end", reason FROM s WHERE reason IS NOT NULL UNION ALL SELECT recording, number, open_, heard, 'over' FROM s WHERE i = 64 AND open_ >= 0""",
     "frame_rms": f"WITH {_SEGMENTS} SELECT recording, idx, f::INTEGER AS frame, round(sqrt(list_sum(list_transform(embedding[4 * f + 1:4 * f + 8], lambda x: x * x)) / 8), 8) AS rms FROM segments, range(0, 15) r(f)",
     "voiced_frames": f"""WITH {_SEGMENTS}, l AS (SELECT recording, idx, list_transform(range(0, 16), lambda f: sqrt(list_sum(list_transform(embedding[4 * f + 1:4 * f + 4], lambda x: x * x)) / 4 + 1e-12)) AS levels FROM segments)
 SELECT recording, idx, f::INTEGER AS frame, levels[f + 1] >= greatest(2e-4, 0.25 * list_sort(levels)[8], 0.08 * list_max(levels)) AS voiced FROM l, range(0, 16) r(f)""",
@@ -205,12 +234,15 @@ UNION ALL SELECT recording, 1, id, 0, t0, greatest(t0 + 0.1, t0 + 10 / 34.0::DOU
 UNION ALL SELECT recording, 1, id, 1, greatest(t0 + 0.1, t0 + 10 / 34.0::DOUBLE * (t1 - t0) - 0.05) + 0.05, t1, speaker, 'The other part is longer' FROM rows_ WHERE id = 2
 UNION ALL SELECT recording, 0, 3, 0, min(t0), max(t1), CASE WHEN max(n) >= 5 THEN 'b' ELSE max(speaker) FILTER (id = 3) END, CASE WHEN max(n) >= 5 THEN 'joined' ELSE trim(string_agg(text, ' ' ORDER BY id)) END FROM rows_ WHERE id BETWEEN 3 AND 5 AND n >= 4 GROUP BY recording)
 SELECT recording, (row_number() OVER (PARTITION BY recording ORDER BY round(start, 3), round("end", 3), kind, id, part) - 1)::INTEGER AS idx, round(start, 3) AS start, round("end", 3) AS "end", speaker, text FROM done""",
+    "word_seconds": f"""WITH {_UTTERANCES} SELECT recording, idx, (i - 1)::INTEGER AS place, round((s + 0.0004::DOUBLE) * 1000)::INTEGER / 1000.0::DOUBLE AS start FROM words WHERE s IS NOT NULL""",
+    "similarity_thresholds": f"WITH {_SEGMENTS}, p AS (SELECT recording, idx, list_cosine_similarity(embedding, lag(embedding) OVER (PARTITION BY recording ORDER BY idx)) AS sim FROM segments) SELECT recording, idx, 1 - sim < 0.9 AS near FROM p WHERE sim IS NOT NULL",
     "final_turns": f"WITH {_UTTERANCES} SELECT recording, idx AS seq FROM utterances WHERE idx % 3 <> 2 AND idx % 4 <> 3 AND trim(text) <> ''",
     "turn_confidence": f"""WITH {_UTTERANCES}, c AS (SELECT recording, idx, avg(c) AS confidence FROM words GROUP BY recording, idx) SELECT recording, idx AS seq, round(confidence, 8) AS confidence, CASE WHEN idx % 5 <> 4 THEN speaker ELSE '' END AS speaker FROM utterances JOIN c USING (recording, idx)""",
     "name_numbers": f"WITH {_SEGMENTS} SELECT recording, idx, CASE WHEN idx % 3 <> 0 THEN cluster ELSE 0 END AS number FROM segments",
 }
 ORACLE_SQL["json_array"] = f"""WITH {_UTTERANCES} SELECT DISTINCT recording, '[{{"id": 1, "speaker": " ", "text": " FIRST ROW "}}, {{"id": "2", "speaker": "a", "text": "— one PART"}}, 7, {{"source_ids": [2], "text": "the Other part is longer"}}, {{"source_ids": [4, 3], "speaker": "", "text": ""}}, {{"source_ids": [4, 5], "speaker": "b", "text": "joined"}}, {{"id": 99, "text": "nowhere"}}]' AS json FROM utterances"""
 ORACLE_SQL["json_documents"] = f"""SELECT recording, to_json(list({{'speaker': speaker, 'start': start, 'end': "end", 'text': text}} ORDER BY idx))::VARCHAR AS json FROM ({ORACLE_SQL["corrected_rows"]}) GROUP BY recording"""
+ORACLE_SQL["titled_documents"] = f"""SELECT recording, chr(10) || '--- TURNS ---' || chr(10) || to_json(list({{'speaker': speaker, 'text': text}} ORDER BY idx))::VARCHAR AS text FROM ({ORACLE_SQL["corrected_rows"]}) GROUP BY recording"""
 ORACLE_SQL["pitch"] = f"""WITH {_SEGMENTS}, y AS (SELECT recording, idx, list_transform(embedding, lambda x: x - list_avg(embedding)) AS y FROM segments),
 a AS (SELECT recording, idx, k, list_sum(list_transform(range(1, 65), lambda i: y[i] * y[(i - 1 + k) % 64 + 1])) AS likeness FROM y, range(2, 11) r(k))
 SELECT recording, idx, round(800.0::DOUBLE / arg_max(k, likeness), 4) AS hz FROM a GROUP BY recording, idx"""
