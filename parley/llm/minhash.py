@@ -78,19 +78,31 @@ def _likely(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are alike. One join brings each pair's two texts, which then meet by pair: pairs of a text that stands in many are dealt over all tasks."""
+def _checked(pairs: DataFrame, docs: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts are alike; b, the lead, may stand in many. Its partners are dealt to blocks, and its text goes once to each of them, ahead of theirs, so no task gets more than `block` partners of
+    a lead in one piece and a lead's shingles are made once a block. Where rows repeat a doc_id, any of their texts counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sets = None, []
         for batch in batches:
-            alike = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= least for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            good = []
+            for b, number, text, leads in zip(*(batch.column(c) for c in ("b", "number", "text", "leads")), strict=True):
+                if here != (b, number):
+                    here, sets = (b, number), []
+                own = shingles(text.as_py())
+                if leads.as_py():
+                    sets.append(own)
+                good.append(not leads.as_py() and any(similarity(own, lead) >= least for lead in sets))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = sides.join(docs.select("doc_id", "text"), "doc_id")
-    both = texts.groupBy("a", "b").agg(*(F.max(F.when(F.col("doc_id") == F.col(k), F.col("text"))).alias(t) for k, t in (("a", "x"), ("b", "y"))))
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    texts = docs.select(F.col("doc_id").alias("_d"), "text")
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("number"))
+    members = dealt.join(texts, F.col("a") == F.col("_d")).select("b", "number", "a", "text", F.lit(False).alias("leads"))
+    leads = blocks.join(texts, F.col("b") == F.col("_d")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("number"), F.col("b").alias("a"), "text", F.lit(True).alias("leads"))
+    met = members.unionByName(leads).repartition("b", "number").sortWithinPartitions("b", "number", F.desc("leads"))
+    return met.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _in_cells(rows: DataFrame) -> DataFrame:

@@ -218,10 +218,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null")
     fps = materialize(fingerprints(known))
     by_code = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    equal = fps.join(by_code, "fp").where("least < doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    leads = materialize(fps.join(by_code, "fp").select("doc_id", "least"))
     one, two = (by_code.select(F.col("fp").alias(k), F.col("least").alias(x)) for k, x in (("a", "x"), ("b", "y")))
     near = near_links(by_code.select("fp")).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    later = connected_components(equal.unionByName(near).unionByName(minhash.links(known))).where("component < node").select(F.col("node").alias("doc_id"))
+    # rows of one fingerprint stand as the first of them, so that a group of copies is no node with as many edges
+    to = lambda c: leads.select(F.col("doc_id").alias(c), F.col("least").alias(f"{c}_least"))
+    alike = minhash.links(known).join(to("a"), "a").select(F.col("a_least").alias("a"), "b").distinct().join(to("b"), "b").select("a", F.col("b_least").alias("b")).where("a <> b")
+    joined = connected_components(near.unionByName(alike)).where("component < node").select(F.col("node").alias("doc_id"))
+    later = leads.where("least < doc_id").select("doc_id").unionByName(joined)
     return docs.join(later, "doc_id", "left_anti").select(docs.columns)
 
 
