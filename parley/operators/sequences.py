@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.operators.slices import SLICE, carried, sliced
+
 KEY = "recording"
 
 
@@ -47,22 +50,47 @@ def median_smooth(df: DataFrame, label: str, width: int = 3, key: str = KEY) ->
     return df.withColumn(label, F.get(near, F.floor(F.size(near) / 2).cast("int")))
 
 
-def remove_micro_switches(df: DataFrame, min_run: float = 0.35, key: str = KEY) -> DataFrame:
-    """A row under min_run long between two rows of one other label takes theirs. Left to right, so a change counts for the next row: a fold. Rows of min_run or longer never
-    change, so the fold runs over stretches of short rows behind one of these."""
-    turn = "struct<idx:bigint,t0:double,t1:double,speaker:string>"
-    order = Window.partitionBy(key).orderBy("idx")
-    ordered = df.select(key, F.col("idx").cast("long").alias("idx"), "t0", "t1", "speaker").withColumn("after", F.lead("speaker").over(order)).withColumn("fixed", F.when(F.col("t1") - F.col("t0") < min_run, 0).otherwise(1))
-    stretches = ordered.withColumn("stretch", F.sum("fixed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = stretches.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("idx", "t0", "t1", "speaker", "after"))).alias("rows"))
-
-    def step(out: Column, x: Column) -> Column:
-        before = F.get(out, F.size(out) - 1)["speaker"]
-        switch = (before == x["after"]) & (before != x["speaker"]) & (x["t1"] - x["t0"] < min_run)
-        changed = F.struct(x["idx"].alias("idx"), x["t0"].alias("t0"), x["t1"].alias("t1"), F.when(switch, before).otherwise(x["speaker"]).alias("speaker"))
-        return F.concat(out, F.array(changed)).cast(f"array<{turn}>")
-
-    return lists.select(key, F.explode(F.aggregate("rows", F.array().cast(f"array<{turn}>"), step)).alias("r")).select(key, "r.*")
+def _switched(before: str | None, speaker: str | None, after: str | None, short: bool) -> str | None:
+    """The speaker of a row between two others; nulls are equal to nothing."""
+    return before if short and before is not None and before == after and speaker is not None and before != speaker else speaker
+
+
+def remove_micro_switches(df: DataFrame, min_run: float = 0.35, key: str = KEY, rows: int = SLICE) -> DataFrame:
+    """A row under min_run long between two rows of one other label takes theirs. Left to right, so a change counts for the next row: a fold. What a slice of rows leaves as its last label depends on the label before it in one way only:
+    one label, that behind the slice's first row, may lead to another end than all others. So slices are summed up in three labels, and folded in parallel once the label before each is known. The result doesn't depend on `rows`, those of a
+    slice. The sorted rows are written to the shared folder at once."""
+    ordered = df.select(key, F.col("idx").cast("long").alias("idx"), "t0", "t1", "speaker").withColumn("after", F.lead("speaker").over(Window.partitionBy(key).orderBy("idx")))
+    cut = sliced(ordered.withColumn("short", F.coalesce(F.col("t1") - F.col("t0") < min_run, F.lit(False))), ["idx"], key, rows)
+    kinds = dict(cut.dtypes)
+
+    def turns(part: pd.DataFrame) -> list[tuple]:
+        part = part.sort_values("place")
+        known = lambda c: [None if pd.isna(x) else x for x in part[c]]
+        return list(zip(known("speaker"), known("after"), part["short"], strict=True))
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        each = turns(part)
+        special = each[0][1]
+        ends = [special, None]  # of the special label and of any other
+        for speaker, after, short in each:
+            ends = [_switched(x, speaker, after, short) for x in ends]
+        return pd.DataFrame({key: part[key].iloc[:1], "slice": part["slice"].iloc[:1], "special": [special], "then": [ends[0]], "otherwise": [ends[1]]})
+
+    def behind(before, row):
+        last = row.then if before is not None and before == row.special else row.otherwise
+        return None if pd.isna(last) else last
+
+    def folded(part: pd.DataFrame) -> pd.DataFrame:
+        before, out = None if pd.isna(part["state"].iloc[0]) else part["state"].iloc[0], []
+        for speaker, after, short in turns(part):
+            before = _switched(before, speaker, after, short)
+            out.append(before)
+        part = part.sort_values("place")
+        return pd.DataFrame({key: part[key], "idx": part["idx"], "t0": part["t0"], "t1": part["t1"], "speaker": out})
+
+    sums = cut.groupBy("slice").applyInPandas(summed, f"{key} {kinds[key]}, slice long, special string, then string, otherwise string")
+    states = carried(sums, behind, "string", key)
+    return cut.join(states, "slice").groupBy("slice").applyInPandas(folded, f"{key} {kinds[key]}, idx long, t0 {kinds['t0']}, t1 {kinds['t1']}, speaker string")
 
 
 def runs(df: DataFrame, label: str = "speaker", key: str = KEY) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions.text import similarity as text_similarity
-from parley.operators.components import connected_components
+from parley.operators.components import connected_components, stored
+from parley.operators.partition import large_partition
 
 KEY = "recording"
 
@@ -167,12 +168,10 @@ def spectral_labels(similarity: np.ndarray, k: int) -> np.ndarray:
 
 
 def graph_partition(edges: DataFrame, nodes: DataFrame, k: int, key: str = KEY, most: int = 4000) -> DataFrame:
-    """recording, idx, cluster: spectral groups of each recording's nodes (recording, idx) by its edges (recording, i, j, sim). Pairs without an edge have similarity 0. Numbers follow the first node. One recording's
-    matrix is held in one task: recordings of more than `most` nodes fail."""
+    """recording, idx, cluster: spectral groups of each recording's nodes (recording, idx) by its edges (recording, i, j, sim; each pair once). Pairs without an edge have similarity 0. Numbers follow the first node. A recording of `most` nodes
+    or fewer is a matrix in a task; larger ones are found from the table of edges (`partition`), all together and at once."""
 
     def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a recording of {len(rows)} segments; graph_partition takes {most}")
         ids = np.sort(rows["idx"].to_numpy())
         w = np.zeros((len(ids), len(ids)))
         if len(ids):
@@ -181,5 +180,13 @@ def graph_partition(edges: DataFrame, nodes: DataFrame, k: int, key: str = KEY,
         return pd.DataFrame({key: rows["_k"].to_numpy(), "idx": ids, "cluster": spectral_labels(w, k)})
 
     kinds = dict(nodes.dtypes)
-    keyed = nodes.select(F.col(key).alias("_k"), F.col("idx").alias("idx"))
-    return keyed.groupBy("_k").cogroup(edges.groupBy(key)).applyInPandas(run, f"{key} {kinds[key]}, idx {kinds['idx']}, cluster long")
+    counts = nodes.groupBy(F.col(key).alias("_r")).agg(F.count("*").alias("_n"))
+    same = F.col(key).eqNullSafe(F.col("_r"))
+    large = stored(counts.where(F.col("_n") > most).select("_r"))
+    whole = lambda df: df.join(large, same, "left_anti")
+    keyed = whole(nodes).select(F.col(key).alias("_k"), F.col("idx").alias("idx"))
+    small = keyed.groupBy("_k").cogroup(whole(edges).groupBy(key)).applyInPandas(run, f"{key} {kinds[key]}, idx {kinds['idx']}, cluster long")
+    if large.isEmpty() or k < 2:
+        return small if large.isEmpty() else small.unionByName(nodes.join(large, same, "left_semi").select(key, "idx", F.lit(0).cast("long").alias("cluster")))
+    rest = large_partition(nodes.join(large, same, "left_semi").select(key, F.col("idx").alias("id")), edges.join(large, same, "left_semi"), k, key)
+    return small.unionByName(rest)

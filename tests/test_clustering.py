@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import density as D
 from parley.operators import linkage as L
+from parley.operators import vectors as V
 
 SCHEMA = "recording string, idx int, embedding array<double>"
 
@@ -157,3 +158,23 @@ def test_density_clusters_of_recordings(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert D.hdbscan(empty).count() == 0 and L.agglomerate(empty).count() == 0 and L.agglomerate(empty, k=2).count() == 0
+
+
+def test_groups_of_graphs_from_their_edges(spark):
+    """What a task's matrix gives, from the table of edges alone."""
+    rng = np.random.default_rng(1)
+    nodes, edges, want = [], [], {}
+    for name, n in (("large", 40), ("also", 36), ("small", 10)):
+        own, w = rng.integers(0, 2, n), np.zeros((n, n))
+        for i in range(n):
+            for j in range(i + 1, n):
+                if rng.random() < (0.8 if own[i] == own[j] else 0.05):
+                    w[i, j] = w[j, i] = rng.uniform(0.5, 1)
+                    edges.append((name, i, j, float(w[i, j])))
+        nodes += [(name, i) for i in range(n)]
+        want[name] = V.spectral_labels(w, 2).tolist()
+    edges.append(("large", 0, 1, -0.5)) if not any(e[:3] == ("large", 0, 1) for e in edges) else None
+    table = spark.createDataFrame(nodes, "recording string, idx int")
+    found = clusters(V.graph_partition(spark.createDataFrame(edges, "recording string, i int, j int, sim double"), table, 2, most=20))
+    assert found == want and {len(set(x)) for x in want.values()} == {2}
+    assert clusters(V.graph_partition(spark.createDataFrame(edges, "recording string, i int, j int, sim double"), table, 1, most=20)) == {r: [0] * len(x) for r, x in want.items()}

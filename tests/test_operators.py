@@ -92,7 +92,8 @@ def test_against_models(spark, seed):
     for min_len, size in ((1.0, 3), (0.0, 5), (2.5, 1)):
         assert sorted(map(tuple, I.flatten(df, min_len, rows=size).collect())) == flat(rows, min_len)
     clean = df.where("t0 is not null")
-    assert sorted(map(tuple, S.remove_micro_switches(clean, 2.0).select("recording", "idx", "speaker").collect())) == switched(rows, 2.0)
+    for size in (8192, 3, 1):
+        assert sorted(map(tuple, S.remove_micro_switches(clean, 2.0, rows=size).select("recording", "idx", "speaker").collect())) == switched(rows, 2.0)
 
 
 def test_resolved_turns_are_disjoint(spark):
