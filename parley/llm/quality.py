@@ -11,8 +11,8 @@ length: these weigh `Bands.prior` squared, the table's own the squared weight of
 neighbours and on the wide limits, and one text alone is judged by the wide limits, moved by one part in `prior` squared + 1. Chunks
 have limits of the same kind for each chunk size.
 
-Each text is read and compressed once: its measures are written to the shared folder, about 100 bytes and 8 for each
-chunk, and the limits and verdicts are DataFrame operations on them.
+The measures of texts are written to the shared folder, about 100 bytes and 8 for each chunk, and the limits and verdicts
+are DataFrame operations on them; `measure` so reads each text once, `keep`, which hands on the texts, twice.
 """
 
 from __future__ import annotations
@@ -159,9 +159,8 @@ def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
     return float(values[order][np.searchsorted(total, total[-1] / 2 * (1 - 1e-9))])
 
 
-def judged(rows: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """rows, whose measures are stored, with out (the share of chunks beyond their limits, 0 without chunks) and kept. A job for the limits runs at once; their table has a row for each quarter octave, 4 for each doubling of the longest text."""
-    known = limits(rows, bands)
+def judged(rows: DataFrame, known: Limits, bands: Bands = Bands()) -> DataFrame:
+    """rows with measures, with out (the share of chunks beyond their limits, 0 without chunks) and kept. The table of limits has a row for each quarter octave, 4 for each doubling of the longest text."""
     table = F.broadcast(rows.sparkSession.createDataFrame([(s, *v) for (size, s), v in known.items() if not size] or [(0, 0.0, 0.0)], "_step long, _floor double, _ceiling double"))
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for (size, _), (floor, ceiling) in known.items():
@@ -180,16 +179,19 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     can't matter; repeated rows give repeated rows; an empty table gives none; texts of any length are read whole.
     Jobs for the measures and the limits run at once.
     """
-    rows = judged(stored(measured(docs.select("doc_id", "text"), bands).drop("text")), bands)
+    rows = stored(measured(docs.select("doc_id", "text"), bands).drop("text"))
+    rows = judged(rows, limits(rows, bands), bands)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return rows.select("doc_id", *(F.col(f"measures.{c}").alias(c) for c in counts), "kept", F.col("measures.ratio").alias("ratio"), F.col("out").alias("chunks_out"))
 
 
 def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """The rows of `docs` whose text passes, with their columns. The measures are written beside the rows, so no row is shuffled or joined by its id, and repeated or null ids need no care."""
+    """The rows of `docs` whose text passes, with their columns. A first pass writes measures for the limits, a second one takes them again beside the rows: texts are neither written nor shuffled nor joined by their ids, and repeated
+    or null ids need no care."""
+    known = limits(stored(measured(docs.select("text"), bands).drop("text")), bands)
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumnRenamed(f"c{names.index('text')}", "text")  # no name can clash
-    kept = judged(stored(measured(plain, bands)), bands).where("kept")
+    kept = judged(measured(plain, bands), known, bands).where("kept")
     return kept.select(*(F.col("text" if n == "text" else f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
