@@ -96,12 +96,11 @@ def _checked(pairs: DataFrame, docs: DataFrame, least: float, block: int = 256)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.col("doc_id").alias("_d"), "text")
     blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / block).alias("blocks"))
     dealt = pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("number"))
-    members = dealt.join(texts, F.col("a") == F.col("_d")).select("b", "number", "a", "text", F.lit(False).alias("leads"))
-    leads = blocks.join(texts, F.col("b") == F.col("_d")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("number"), F.col("b").alias("a"), "text", F.lit(True).alias("leads"))
-    met = members.unionByName(leads).repartition("b", "number").sortWithinPartitions("b", "number", F.desc("leads"))
+    members = dealt.select("b", "number", "a", F.col("a").alias("doc_id"), F.lit(False).alias("leads"))
+    leads = blocks.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("number"), F.col("b").alias("a"), F.col("b").alias("doc_id"), F.lit(True).alias("leads"))
+    met = members.unionByName(leads).join(docs.select("doc_id", "text"), "doc_id").repartition("b", "number").sortWithinPartitions("b", "number", F.desc("leads"))
     return met.mapInArrow(run, f"a {kind}, b {kind}")
 
 
