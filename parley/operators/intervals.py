@@ -8,8 +8,12 @@ rows meet in one task, recordings are spread over all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,16 +138,81 @@ def _bins(df: DataFrame, t0: str, t1: str, size: float) -> DataFrame:
     return df.withColumn("_bin", F.explode(F.sequence(_bin(F.col(t0), size), _bin(F.col(t1), size))))
 
 
+def _resolved(rows: list[tuple], after: float | None) -> list[tuple]:
+    """(t0, t1, speaker) of a bin's pieces, joined where they touch. rows: (t0, t1, speaker, 1 if it begins and 2 more if it ends in the bin) in the order in which later ones win; after: the recording's first point behind the bin. Of the turns begun so far
+    those stay at hand that end later than all that win over them, so the last of them ends first."""
+    points = sorted({r[0] for r in rows if r[3] & 1} | {r[1] for r in rows if r[3] & 2})
+    out, open_, i = [], [], 0
+    for a, b in zip(points, [*points[1:], after], strict=False):  # a bin of no points has no pieces
+        while i < len(rows) and rows[i][0] <= a:
+            while open_ and open_[-1][0] <= rows[i][1]:
+                open_.pop()
+            open_.append(rows[i][1:3])
+            i += 1
+        while open_ and open_[-1][0] <= a:
+            open_.pop()
+        if open_ and b is not None and b - a >= 1e-9:
+            speaker = open_[-1][1]
+            if out and out[-1][2] == speaker and abs(out[-1][1] - a) < EPS:
+                out[-1] = (out[-1][0], b, speaker)
+            else:
+                out.append((a, b, speaker))
+    return out
+
+
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((key, bin), rows) of a sorted batch (key, bin, others)."""
+    if not batch.num_rows:
+        return
+    group, bins = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+    codes, keys = group.indices.to_numpy(), group.dictionary.to_pylist()
+    cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(bins) != 0)) + 1
+    speaker = batch.column("speaker").dictionary_encode()
+    names = np.array([*speaker.dictionary.to_pylist(), None], dtype=object)[speaker.indices.fill_null(len(speaker.dictionary)).to_numpy()]
+    times = (c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in (batch.column("t0"), batch.column("t1")))
+    rows = list(zip(*times, names.tolist(), batch.column("ends_in").to_numpy().tolist(), strict=True))
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield (keys[codes[a]], int(bins[a])), rows[a:b]
+
+
 def resolve_overlaps(df: DataFrame, key: str = KEY, size: float = BIN) -> DataFrame:
     """recording, idx, t0, t1, speaker: time cut at every turn's ends; each piece goes to the turn over it that began last, of those to
-    the first by idx; touching pieces of one speaker join. Pieces under a nanosecond are skipped. size: seconds a bin of the range join; a turn over a
-    piece touches the bin where the piece begins."""
-    turns = positive(_known(df)).select(key, "idx", "t0", "t1", "speaker")
-    points = turns.select(key, F.explode(F.array("t0", "t1")).alias("a")).distinct()
-    pieces = points.withColumn("b", F.lead("a").over(Window.partitionBy(key).orderBy("a"))).where(F.col("b") - F.col("a") >= 1e-9)
-    over = pieces.withColumn("_bin", _bin(F.col("a"), size)).join(_bins(turns, "t0", "t1", size), [key, "_bin"]).where("t0 <= a and t1 >= b")
-    chosen = over.groupBy(key, "a", "b").agg(F.max_by("speaker", F.struct("t0", -F.col("idx"))).alias("speaker"))
-    ranked = chosen.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("a")).cast("long")).select(key, "idx", F.col("a").alias("t0"), F.col("b").alias("t1"), "speaker")
+    the first by idx; touching pieces of one speaker join. Pieces under a nanosecond are skipped. size: seconds a bin, whose pieces are those that begin in it; the result doesn't depend on it.
+
+    A turn goes to the bin where it begins and to the one where it ends. Of the turns over a whole bin only the last one can win there, so a bin takes one for all of them, and rows don't grow with the number of turns that overlap. A bin is swept in one task."""
+    at = [key, "_bin"]
+    turns = positive(_known(df)).where(F.col(key).isNotNull()).select(key, "idx", "t0", "t1", "speaker").withColumn("_from", _bin(F.col("t0"), size)).withColumn("_to", _bin(F.col("t1"), size))
+    placed = turns.withColumn("_bin", F.explode(F.array_distinct(F.array("_from", "_to"))))
+    later = F.struct("t0", -F.col("idx"))
+    last = F.max_by(F.struct("idx", "t0", "t1", "speaker", "_from", "_to"), later).alias("last")
+    spans = turns.where(F.col("_to") - F.col("_from") > 1).groupBy(key, "_from", "_to").agg(last)
+    inner = spans.select(key, "last.*").withColumn("_bin", F.explode(F.sequence(F.col("_from") + 1, F.col("_to") - 1)))
+    over = inner.groupBy(*at).agg(last).select(key, "last.*", "_bin")
+    ends = turns.select(key, F.explode(F.array(F.struct(F.col("_from").alias("_bin"), F.col("t0").alias("a")), F.struct(F.col("_to").alias("_bin"), F.col("t1").alias("a")))).alias("e"))
+    firsts = ends.groupBy(key, F.col("e._bin").alias("_bin")).agg(F.min("e.a").alias("a"))
+    after = firsts.select(*at, F.lead("a").over(Window.partitionBy(key).orderBy("_bin")).alias("t1"))
+    rows = placed.unionByName(over).unionByName(after, allowMissingColumns=True)
+    order = [*at, F.col("t0").asc_nulls_first(), F.col("idx").desc_nulls_first(), "t1", "speaker"]
+    dealt = rows.repartition(*at).sortWithinPartitions(*order).select(*at, "t0", "t1", "speaker", F.coalesce((F.col("_from") == F.col("_bin")).cast("int") + (F.col("_to") == F.col("_bin")).cast("int") * 2, F.lit(-1)).alias("ends_in"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, own, behind, schema = None, [], None, None
+        for batch in chain(batches, [None]):
+            out = []
+            for unit, rows in _units(batch) if batch else [(None, [])]:
+                if here != unit:
+                    out += [(here[0], *piece) for piece in _resolved(own, behind)] if own else []
+                    here, own, behind = unit, [], None
+                if rows and rows[0][3] < 0:
+                    behind, rows = rows[0][1], rows[1:]
+                own += rows
+            schema = batch.schema if batch else schema
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(c).type) for x, c in zip(zip(*out, strict=True), (key, "t0", "t1", "speaker"), strict=True)], names=[key, "t0", "t1", "speaker"])
+
+    kinds = dict(turns.dtypes)
+    pieces = dealt.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (key, "t0", "t1", "speaker")))
+    ranked = pieces.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("t0")).cast("long"))
     return merge_touching(ranked, key)
 
 

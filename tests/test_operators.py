@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import intervals as I
@@ -135,3 +136,55 @@ def test_transcript(spark):
 def test_labelled_turn_stays(spark):
     df = spark.createDataFrame([("a", 1, 0, 5, "", "hi"), ("a", 2, 0, 5, "A", "hi "), ("a", 3, 0, 5, "", "hi")], "recording string, seq long, start int, end int, speaker string, text string")
     assert [tuple(r) for r in R.deduplicated(df).select("place", "seq", "speaker").collect()] == [(1, 2, "A")]
+
+
+def resolved(rows):
+    out = []
+    for rec, own in by_recording(rows).items():
+        own = [r for r in own if r[3] > r[2]]
+        points, runs = sorted({t for r in own for t in r[2:4]}), []
+        for a, b in zip(points, points[1:], strict=False):
+            over = [r for r in own if r[2] <= a and r[3] >= b]
+            if b - a >= 1e-9 and over:
+                who = max(over, key=lambda r: (r[2], -r[1]))[4]
+                if runs and runs[-1][2] == who and abs(runs[-1][1] - a) < 1e-6:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b, who])
+        out += [(rec, *run) for run in runs]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("size", [0.5, 7.0, 60.0, 1e6])
+def test_resolved_turns_against_all_pieces(spark, size):
+    """Bins of any size: turns over many of them, nested ones, gaps, equal starts, null speakers, ends a rounding apart."""
+    rnd = random.Random(11)
+    rows = rows_of(4) + [("c", i, float(i), 100.0 - i, rnd.choice("XY")) for i in range(45)] + [("c", 50, 300.0, 301.0, "X")]
+    rows += [("d", i, t0, t0 + rnd.choice([0.1, 3.0, 40.0]), rnd.choice(["X", None])) for i, t0 in enumerate(rnd.randrange(-300, 300) / 10 for _ in range(60))]
+    rows += [("e", 0, 0.0, 0.3, "X"), ("e", 1, 0.1 + 0.2, 1.0, "X"), ("e", 2, 0.3, 0.1 + 0.2, "Y"), ("e", 3, 5.0, 5.0, "Z"), ("e", None, 0.0, 2.0, "W")]
+    found = I.resolve_overlaps(spark.createDataFrame(rows, SCHEMA), size=size)
+    want = resolved([r for r in rows if r[1] is not None] + [("e", 1e9, 0.0, 2.0, "W")])
+    assert sorted(map(tuple, found.select("recording", "t0", "t1", "speaker").collect()), key=str) == want
+
+
+def rows_between_operators(spark, run):
+    """Sum of the rows that all nodes of the plans put out while `run` ran."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    done, total = store.executionsList(), 0
+    for i in range(before, done.size()):
+        nodes, values = store.planGraph(done.apply(i).executionId()).allNodes(), store.executionMetrics(done.apply(i).executionId())
+        metrics = [m for n in range(nodes.size()) for m in (nodes.apply(n).metrics().apply(k) for k in range(nodes.apply(n).metrics().size()))]
+        found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+        total += sum(int(x.get().replace(",", "")) for x in found if x.isDefined())
+    return total
+
+
+def test_rows_of_resolving_follow_the_turns(spark):
+    """3,000 turns that all overlap take some rows each in every step, not one for each turn over each piece."""
+    n = 3000
+    turns = spark.range(n).select(F.lit("r").alias("recording"), F.col("id").alias("idx"), (F.col("id") * 0.01).alias("t0"), (F.col("id") * 0.01 + 50).alias("t1"), F.concat(F.lit("s"), F.col("id") % 3).alias("speaker"))
+    assert 0 < rows_between_operators(spark, lambda: I.resolve_overlaps(turns).count()) < 100 * n
