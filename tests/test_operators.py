@@ -188,3 +188,9 @@ def test_rows_of_resolving_follow_the_turns(spark):
     n = 3000
     turns = spark.range(n).select(F.lit("r").alias("recording"), F.col("id").alias("idx"), (F.col("id") * 0.01).alias("t0"), (F.col("id") * 0.01 + 50).alias("t1"), F.concat(F.lit("s"), F.col("id") % 3).alias("speaker"))
     assert 0 < rows_between_operators(spark, lambda: I.resolve_overlaps(turns).count()) < 100 * n
+
+
+def test_rows_of_postprocessing_follow_the_turns(spark):
+    n = 2000
+    turns = spark.range(n).select(F.lit("r").alias("recording"), F.col("id").alias("idx"), (F.col("id") * 0.01).alias("t0"), (F.col("id") * 0.01 + 50).alias("t1"), F.concat(F.lit("s"), F.col("id") % 3).alias("speaker"))
+    assert 0 < rows_between_operators(spark, lambda: I.postprocess_turns(turns).count()) < 200 * n
