@@ -7,7 +7,8 @@ Null and NaN probabilities count as 0; an empty table gives none; other columns
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,8 @@ ON, MARGIN, FEWEST, MORE = 0.35, 0.10, 5, 0.10
 STRONG, OVERLAP, LEAST_RUN, RUN_SHARE = 0.35, 0.20, 3, 0.03
 #: Fixed values of the path search.
 FLOOR, STAY, STAY_OVERLAP, SWITCH, SILENCE, MIN_ON = 1e-6, 1.4, 1.2, 0.2, 0.6, 0.10
+#: Posteriors in the arrays of a path search.
+CELLS = 1 << 20
 
 
 def _clean(frames: DataFrame) -> DataFrame:
@@ -94,33 +97,50 @@ def best_path(posterior: np.ndarray, overlap: bool = False) -> np.ndarray:
     return best_paths(posterior[None], overlap)[0]
 
 
+def _path_turns(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Turns of a batch of chunks, a row each (recording, chunk, k, start, end, offset, overlap, ascending frames, and cells: the arrays at, cluster, p). Paths of chunks of one form are searched together, CELLS of posteriors at a time."""
+    frames, at = batch.column("frames"), batch.column("at")
+    n, m = (pc.list_value_length(x).to_numpy() for x in (frames, at))
+    k, overlap = batch.column("k").to_numpy(), batch.column("overlap").to_numpy(zero_copy_only=False)
+    start, end, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "offset"))
+    known, rank = np.unique(frames.flatten().to_numpy(), return_inverse=True)
+    row, owner = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+    place = np.searchsorted(row * len(known) + rank, owner * len(known) + np.searchsorted(known, at.flatten().to_numpy())) - (np.cumsum(n) - n)[owner]
+    cluster, p, first = batch.column("cluster").flatten().to_numpy(), batch.column("p").flatten().to_numpy(), np.cumsum(m) - m
+    forms, form = np.unique(np.stack([n, k, overlap.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+    out = []
+    for f, (size, states, both) in enumerate(forms.tolist()):
+        alike, step = np.flatnonzero(form.ravel() == f), max(1, CELLS // (size * (states + 1)))
+        for own in (alike[i : i + step] for i in range(0, len(alike), step) if size > 1):
+            cells = np.repeat(first[own] - np.cumsum(m[own]) + m[own], m[own]) + np.arange(m[own].sum())
+            posterior = np.zeros((len(own), size, states))
+            np.maximum.at(posterior, (np.repeat(np.arange(len(own)), m[own]), place[cells], cluster[cells]), p[cells])
+            path = best_paths(posterior, bool(both))
+            cut = np.concatenate([np.ones((len(own), 1), bool), path[:, 1:] != path[:, :-1]], axis=1)
+            chunk, begin = np.nonzero(cut)
+            stop = np.where(np.append(chunk[1:] != chunk[:-1], True), size, np.append(begin[1:], size))
+            here, state = own[chunk], path[chunk, begin]
+            t0, t1 = (start[here] + x * (end[here] - start[here]) / size for x in (begin, stop))
+            kept = (state != states) & (t1 - t0 >= MIN_ON)
+            out.append((here[kept], (t0 + offset[here])[kept], (t1 + offset[here])[kept], state[kept]))
+    here, t0, t1, state = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), *[np.zeros(0)] * 2, np.zeros(0, np.int64))
+    ids = [batch.column(i).take(pa.array(here, pa.int64())) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*ids, pa.array(t0), pa.array(t1), pa.array(state, pa.int64())], names=[*batch.schema.names[:2], "t0", "t1", "cluster"])
+
+
 def resegmented(frames: DataFrame, clusters: DataFrame, chunks: DataFrame, key: str = KEY) -> DataFrame:
     """recording, chunk, t0, t1, cluster: turns on each chunk's best path, those of MIN_ON seconds or more. chunks: recording, chunk, start, end, offset (of its window), overlap. A chunk of one frame has no
-    turns. Chunks are independent and bounded, so each is one small group."""
-    posterior = clustered(frames, clusters, key)
-    every = _clean(frames).select(key, "chunk", "frame").distinct()
-    known = posterior.select(key, "cluster").distinct().groupBy(key).agg((F.max("cluster") + 1).alias("k"))
-    rows = every.join(posterior, [key, "chunk", "frame"], "left").join(known, key).join(chunks.select(key, "chunk", "start", "end", "offset", "overlap"), [key, "chunk"])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        order, n, k = np.unique(part["frame"], return_inverse=True)[1], part["frame"].nunique(), int(part["k"].iloc[0])
-        table = np.zeros((n, k))
-        given = part["cluster"].notna().to_numpy()
-        table[order[given], part["cluster"][given].astype(int)] = part["p"][given]
-        out = []
-        if n > 1:
-            path = best_path(table, bool(part["overlap"].iloc[0]))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [n]])
-            start, end, offset = (float(part[c].iloc[0]) for c in ("start", "end", "offset"))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                t0, t1 = (start + x * (end - start) / n for x in (a, b))
-                if path[a] != k and t1 - t0 >= MIN_ON:
-                    out.append((part[key].iloc[0], part["chunk"].iloc[0], t0 + offset, t1 + offset, path[a]))
-        return pd.DataFrame(out, columns=[key, "chunk", "t0", "t1", "cluster"])
-
+    turns. Chunks are independent and bounded, so each is one row, with its frames and its clusters' p as arrays, and the paths of many rows are searched at once."""
+    unit, spans = [key, "chunk"], ("start", "end", "offset")
+    named = clusters.where("cluster is not null").select(*unit, "spk", F.col("cluster").cast("long").alias("cluster"))
+    shown = _clean(frames).where("frame is not null").select(*unit, "frame", "spk", "p").join(named, [*unit, "spk"], "left")
+    cells = F.collect_list(F.when(F.col("cluster").isNotNull(), F.struct(F.col("frame").alias("at"), "cluster", "p")))
+    held = shown.groupBy(*unit).agg(F.sort_array(F.collect_set("frame")).alias("frames"), cells.alias("cells"))
+    known = shown.groupBy(key).agg((F.max("cluster") + 1).alias("k")).where("k is not null")
+    of_chunk = F.struct(*(F.col(c).cast("double").alias(c) for c in spans), F.coalesce(F.col("overlap").cast("boolean"), F.lit(False)).alias("overlap"))
+    rows = held.join(chunks.groupBy(*unit).agg(F.min(of_chunk).alias("of")), unit).join(known, key).select(*unit, "k", "of.*", "frames", "cells.at", "cells.cluster", "cells.p")
     kinds = dict(rows.dtypes)
-    return rows.groupBy(key, "chunk").applyInPandas(run, f"{key} {kinds[key]}, chunk {kinds['chunk']}, t0 double, t1 double, cluster long")
+    return rows.mapInArrow(lambda batches: map(_path_turns, batches), f"{key} {kinds[key]}, chunk {kinds['chunk']}, t0 double, t1 double, cluster long")
 
 
 def masked(samples: Column, mask: Column) -> Column:

@@ -8,6 +8,7 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,38 @@ def test_resegmented_turns(spark):
     assert [r[2] for r in found] == [4, 1] and found[0][0] == 110.0 and found[1][1] == 112.0 and abs(found[0][1] - 111.1) <= 0.1001
 
 
+def test_many_chunks_are_searched_together(monkeypatch):
+    """Chunks of mixed forms against one path each; a search for each form and block of CELLS, not for each chunk."""
+    rnd, rows, want = np.random.default_rng(7), [], []
+    for chunk in range(120):
+        n, k, overlap = int(rnd.integers(1, 4)) * 5 - 4, int(rnd.integers(1, 4)), bool(chunk % 2)
+        frames = np.sort(rnd.choice(40, n, replace=False))
+        at, cluster = rnd.choice(frames, 2 * n), rnd.integers(0, k, 2 * n)
+        cells = list(zip(at.tolist(), cluster.tolist(), (rnd.random(2 * n) ** 0.5).tolist(), strict=True)) if chunk % 7 else []
+        rows.append({"recording": "r", "chunk": chunk, "k": k, "start": 1.0, "end": 4.0, "offset": 0.5, "overlap": overlap, "frames": frames.tolist(), "at": [c[0] for c in cells], "cluster": [c[1] for c in cells], "p": [c[2] for c in cells]})
+        posterior = np.zeros((n, k))
+        for f, c, p in cells:
+            i = frames.tolist().index(f)
+            posterior[i, c] = max(posterior[i, c], p)
+        path, i = M.best_path(posterior, overlap).tolist(), 0
+        for state, run in itertools.groupby(path):
+            j = i + len(list(run))
+            if n > 1 and state != k and (j - i) * 3.0 / n >= 0.1:
+                want.append((chunk, 1.5 + i * 3.0 / n, 1.5 + j * 3.0 / n, state))
+            i = j
+    kinds = {"k": pa.int64(), "frames": pa.list_(pa.int32()), "at": pa.list_(pa.int32()), "cluster": pa.list_(pa.int64()), "p": pa.list_(pa.float64())}
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c)) for c in rows[0]], names=list(rows[0]))
+    calls, search = [], M.best_paths
+    monkeypatch.setattr(M, "best_paths", lambda *args: calls.append(1) or search(*args))
+    for cells, most in ((1 << 20, 12), (200, 120)):
+        monkeypatch.setattr(M, "CELLS", cells)
+        calls.clear()
+        found = sorted((r["chunk"], r["t0"], r["t1"], r["cluster"]) for r in M._path_turns(batch).to_pylist())
+        assert len(calls) <= most and len(found) == len(want) > 50
+        assert all(f[0] == w[0] and f[3] == w[3] and math.isclose(f[1], w[1]) and math.isclose(f[2], w[2]) for f, w in zip(found, want, strict=True))
+    assert M._path_turns(batch.slice(0, 0)).num_rows == 0
+
+
 def test_exclusive_regions_fall_back_when_few(spark):
     rows = [("r", 0, t, s, [0.5, 0.1][s] if t < 6 else [0.5, 0.48][s]) for t in range(8) for s in (0, 1)] + [("r", 1, t, s, [0.46, 0.4][s]) for t in range(4) for s in (0, 1)]
     frames = spark.createDataFrame(rows, FRAMES)
